@@ -30,7 +30,7 @@ COUNT = np.array([1, BLOCK, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 HEAD = struct.Struct("<4sIQII")
 #: Words in a worker's dictionary before it is begun anew; a bound on memory only.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
 FRAME_IDS = 1 << 19
 
 
@@ -156,14 +156,16 @@ def frames(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield docs, unpack(words, starts, n_ids)
 
 
-_WORDS: dict[str, dict[str, bytes]] = {}
+_KNOWN: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
 def encoder(tokenizer_path: str, end_id: int):
     """text -> its ids and the end id as little-endian u32.
 
-    The tokenizer drops white space and splits at it before anything else, so the ids of a text are those of its
-    words in turn; each word is encoded once a worker.
+    The tokenizer splits at white space before anything else and drops it, so the ids of a text are those of its
+    words in turn; a worker encodes each word once. It also splits letters from what follows them, so of a word in
+    letters and final punctuation the two parts are encoded. New words of letters go to the tokenizer in one call;
+    the ids that end a word tell them apart again.
     """
     import os
 
@@ -171,21 +173,56 @@ def encoder(tokenizer_path: str, end_id: int):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    known = _WORDS.setdefault(tokenizer_path, {})
+    words_known, parts_known = _KNOWN.setdefault(tokenizer_path, ({}, {}))
     end = end_id.to_bytes(4, "little")
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    ends_word = np.zeros(1, bool)
+    if suffix:
+        ends_word = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+        ends_word[[i for t, i in tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def one_by_one(new: list[str]) -> None:
+        for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            parts_known[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def learn(new: list[str]) -> None:
+        if len(parts_known) + len(new) > CACHE_WORDS:
+            parts_known.clear()
+        letters = [w for w in new if w.isalpha()] if suffix else []
+        if letters:
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = 4 * (np.flatnonzero(ends_word[ids]) + 1)
+            if len(ends) == len(letters):
+                raw, ends = ids.tobytes(), ends.tolist()
+                parts_known.update(zip(letters, [raw[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        one_by_one([w for w in new if w not in parts_known])
+
+    def parts(word: str) -> tuple[str, ...]:
+        if not suffix or not word.isascii():
+            return (word,)
+        if word.isalpha():
+            return (word.lower(),)
+        head, tail = word[:-1], word[-1]
+        return (head.lower(), tail) if head.isalpha() and tail in ",.;:!?" else (word,)
 
     def encode(text: str) -> bytes:
         words = text.split()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python but not to the tokenizer
             words = [text]
-        new = [w for w in set(words) if w not in known]
+        new = [w for w in set(words) if w not in words_known]
         if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
+            if len(words_known) + len(new) > CACHE_WORDS:
+                words_known.clear()
                 new = list(set(words))
-            for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([*map(known.__getitem__, words), end])
+            cut = [parts(w) for w in new]
+            learn([p for p in {p for x in cut for p in x} if p not in parts_known])
+            for w, x in zip(new, cut, strict=True):
+                try:
+                    words_known[w] = parts_known[x[0]] if len(x) == 1 else parts_known[x[0]] + parts_known[x[1]]
+                except KeyError:  # the dictionary was begun anew
+                    learn(list(x))
+                    words_known[w] = b"".join(map(parts_known.__getitem__, x))
+        return b"".join([*map(words_known.__getitem__, words), end])
 
     return encode
 
