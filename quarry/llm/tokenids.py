@@ -29,9 +29,9 @@ BLOCK = 128
 COUNT = np.array([1, BLOCK, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 HEAD = struct.Struct("<4sIQII")
-#: Words in a worker's dictionary before it is begun anew; a bound on memory only.
-CACHE_WORDS = 500_000
-FRAME_IDS = 1 << 19
+#: Entries in a worker's dictionaries before they are begun anew; bounds on memory only.
+CACHE_WORDS, CACHE_PARTS = 500_000, 400_000
+FRAME_IDS = 1 << 17
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
@@ -156,6 +156,9 @@ def frames(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield docs, unpack(words, starts, n_ids)
 
 
+#: Marks that may follow letters; the tokenizer takes a run of them as one piece. An apostrophe can begin another.
+MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+PROBE = "the quick brown fox été größe niño façade s t re ll antidisestablishmentarianism"
 _KNOWN: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
@@ -176,21 +179,40 @@ def encoder(tokenizer_path: str, end_id: int):
     words_known, parts_known = _KNOWN.setdefault(tokenizer_path, ({}, {}))
     end = end_id.to_bytes(4, "little")
     suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    lowers = "Lowercase" in str(tokenizer.normalizer)
     ends_word = np.zeros(1, bool)
     if suffix:
         ends_word = np.zeros(tokenizer.get_vocab_size() + 1, bool)
         ends_word[[i for t, i in tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
 
+    plain = tokenizer
+    if suffix:  # for lower-case letters alone, normalising and the search for word boundaries find nothing to do
+        from tokenizers import normalizers, pre_tokenizers
+
+        quick = Tokenizer.from_file(tokenizer_path)
+        quick.normalizer = normalizers.Sequence([])
+        quick.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        if quick.encode(PROBE).ids == tokenizer.encode(PROBE).ids:
+            plain = quick
+
+    def latin(text: str) -> bool:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return True
+
     def one_by_one(new: list[str]) -> None:
         for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             parts_known[w] = np.array(e.ids, dtype="<u4").tobytes()
 
-    def learn(new: list[str]) -> None:
-        if len(parts_known) + len(new) > CACHE_WORDS:
+    def learn(new: list[str], all_: list[str]) -> None:
+        if len(parts_known) + len(new) > CACHE_PARTS:
             parts_known.clear()
-        letters = [w for w in new if w.isalpha()] if suffix else []
+            new = list(set(all_))
+        letters = [w for w in new if w.isalpha() and w.islower() and (w.isascii() or latin(w))] if suffix else []
         if letters:
-            ids = np.array(tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(plain.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = 4 * (np.flatnonzero(ends_word[ids]) + 1)
             if len(ends) == len(letters):
                 raw, ends = ids.tobytes(), ends.tolist()
@@ -198,36 +220,33 @@ def encoder(tokenizer_path: str, end_id: int):
         one_by_one([w for w in new if w not in parts_known])
 
     def parts(word: str) -> tuple[str, ...]:
-        if not suffix or not word.isascii():
-            return (word,)
-        if word.isalpha():
-            return (word.lower(),)
-        head, tail = word[:-1], word[-1]
-        return (head.lower(), tail) if head.isalpha() and tail in ",.;:!?" else (word,)
+        head = word.rstrip(MARKS)
+        return (head, word[len(head) :]) if suffix and head != word and head.lower().isalpha() else (word,)
 
     def encode(text: str) -> bytes:
+        if lowers and latin(text):
+            text = text.lower()  # each Latin-1 letter has one lower case: words that differ in case alone share an entry
         words = text.split()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python but not to the tokenizer
             words = [text]
-        new = [w for w in set(words) if w not in words_known]
-        if new:
-            if len(words_known) + len(new) > CACHE_WORDS:
+        ids = list(map(words_known.get, words))
+        if None in ids:
+            new = [i for i, x in enumerate(ids) if x is None]
+            cut = {words[i]: parts(words[i]) for i in new}
+            if len(words_known) + len(cut) > CACHE_WORDS:
                 words_known.clear()
-                new = list(set(words))
-            cut = [parts(w) for w in new]
-            learn([p for p in {p for x in cut for p in x} if p not in parts_known])
-            for w, x in zip(new, cut, strict=True):
-                try:
-                    words_known[w] = parts_known[x[0]] if len(x) == 1 else parts_known[x[0]] + parts_known[x[1]]
-                except KeyError:  # the dictionary was begun anew
-                    learn(list(x))
-                    words_known[w] = b"".join(map(parts_known.__getitem__, x))
-        return b"".join([*map(words_known.__getitem__, words), end])
+            learn(list({p for x in cut.values() for p in x}.difference(parts_known)), [p for x in cut.values() for p in x])
+            for w, x in cut.items():
+                words_known[w] = parts_known[x[0]] if len(x) == 1 else parts_known[x[0]] + parts_known[x[1]]
+            for i in new:
+                ids[i] = words_known[words[i]]
+        ids.append(end)
+        return b"".join(ids)
 
     return encode
 
 
-def write_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, frames_per_file: int = 32) -> None:
+def write_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, frames_per_file: int = 64) -> None:
     """Writes the files under path; their names ascend with doc_id (null ids first)."""
     schema = "frame binary"
 
