@@ -30,7 +30,7 @@ COUNT = np.array([1, BLOCK, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 HEAD = struct.Struct("<4sIQII")
 #: Entries in a worker's dictionaries before they are begun anew; bounds on memory only.
-CACHE_WORDS, CACHE_PARTS = 500_000, 400_000
+CACHE_WORDS, CACHE_PARTS = 250_000, 100_000
 FRAME_IDS = 1 << 17
 
 
@@ -156,10 +156,32 @@ def frames(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield docs, unpack(words, starts, n_ids)
 
 
+class Cache:
+    """At most 2 * size entries: when `now` is full it becomes `before`, and what is asked for again returns."""
+
+    def __init__(self, size: int):
+        self.size, self.now, self.before = size, {}, {}
+
+    def room(self, n: int) -> None:
+        if len(self.now) + n > self.size:
+            self.now, self.before = {}, self.now
+
+    def missing(self, keys) -> list[str]:
+        """Those of keys that neither has; the others are in `now` afterwards."""
+        out = []
+        for k in keys:
+            if k not in self.now:
+                if (x := self.before.get(k)) is None:
+                    out.append(k)
+                else:
+                    self.now[k] = x
+        return out
+
+
 #: Marks that may follow letters; the tokenizer takes a run of them as one piece. An apostrophe can begin another.
 MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 PROBE = "the quick brown fox été größe niño façade s t re ll antidisestablishmentarianism"
-_KNOWN: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+_KNOWN: dict[str, tuple[Cache, Cache]] = {}
 
 
 def encoder(tokenizer_path: str, end_id: int):
@@ -176,7 +198,7 @@ def encoder(tokenizer_path: str, end_id: int):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    words_known, parts_known = _KNOWN.setdefault(tokenizer_path, ({}, {}))
+    words_known, parts_known = _KNOWN.setdefault(tokenizer_path, (Cache(CACHE_WORDS), Cache(CACHE_PARTS)))
     end = end_id.to_bytes(4, "little")
     suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
     lowers = "Lowercase" in str(tokenizer.normalizer)
@@ -204,20 +226,17 @@ def encoder(tokenizer_path: str, end_id: int):
 
     def one_by_one(new: list[str]) -> None:
         for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            parts_known[w] = np.array(e.ids, dtype="<u4").tobytes()
+            parts_known.now[w] = np.array(e.ids, dtype="<u4").tobytes()
 
-    def learn(new: list[str], all_: list[str]) -> None:
-        if len(parts_known) + len(new) > CACHE_PARTS:
-            parts_known.clear()
-            new = list(set(all_))
+    def learn(new: list[str]) -> None:
         letters = [w for w in new if w.isalpha() and w.islower() and (w.isascii() or latin(w))] if suffix else []
         if letters:
             ids = np.array(plain.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = 4 * (np.flatnonzero(ends_word[ids]) + 1)
             if len(ends) == len(letters):
                 raw, ends = ids.tobytes(), ends.tolist()
-                parts_known.update(zip(letters, [raw[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
-        one_by_one([w for w in new if w not in parts_known])
+                parts_known.now.update(zip(letters, [raw[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        one_by_one([w for w in new if w not in parts_known.now])
 
     def parts(word: str) -> tuple[str, ...]:
         head = word.rstrip(MARKS)
@@ -229,17 +248,20 @@ def encoder(tokenizer_path: str, end_id: int):
         words = text.split()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python but not to the tokenizer
             words = [text]
-        ids = list(map(words_known.get, words))
+        ids = list(map(words_known.now.get, words))
         if None in ids:
-            new = [i for i, x in enumerate(ids) if x is None]
-            cut = {words[i]: parts(words[i]) for i in new}
-            if len(words_known) + len(cut) > CACHE_WORDS:
-                words_known.clear()
-            learn(list({p for x in cut.values() for p in x}.difference(parts_known)), [p for x in cut.values() for p in x])
+            gaps = [i for i, x in enumerate(ids) if x is None]
+            asked = {words[i] for i in gaps}
+            words_known.room(len(asked))
+            cut = {w: parts(w) for w in words_known.missing(asked)}
+            pieces = {p for x in cut.values() for p in x}
+            parts_known.room(len(pieces))
+            learn(parts_known.missing(pieces))
+            known, made = words_known.now, parts_known.now
             for w, x in cut.items():
-                words_known[w] = parts_known[x[0]] if len(x) == 1 else parts_known[x[0]] + parts_known[x[1]]
-            for i in new:
-                ids[i] = words_known[words[i]]
+                known[w] = made[x[0]] if len(x) == 1 else made[x[0]] + made[x[1]]
+            for i in gaps:
+                ids[i] = known[words[i]]
         ids.append(end)
         return b"".join(ids)
 
