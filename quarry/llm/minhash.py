@@ -7,10 +7,10 @@
    before sketches are sent. A list of over BLOCK classes is dealt as pairs of blocks, so no task holds it all.
 3. In each list, a pair is looked at where its smallest shared listed value is. Set sizes and the overlap in the
    union's sketch (its estimate lies SIGMAS standard errors or less under the threshold) filter it.
-4. The pairs left are verified on full sets, which are made again from the texts of their classes alone. Where a
-   list has many more such pairs than classes, a maximum spanning forest by estimate goes first, and afterwards
-   all pairs of that list whose classes are not yet in one component: no pair is left out, but most of a
-   family's pairs need no verification.
+4. The pairs left are verified on full sets, which are made again from the texts of their classes alone. A list,
+   or pair of blocks, that has many more such pairs than classes is a family: it returns no pairs, but is dealt
+   again with full sets, all its pairs are counted exactly by a product of incidence matrices, and a spanning
+   forest of the links comes back. So no pair is left out and none of a family's is sent.
 5. Components of the verified pairs, and of classes to documents.
 """
 
@@ -28,7 +28,7 @@ from quarry.llm.common import kept, read, shared_dir
 from quarry.llm.graph import components
 from quarry.llm.words import shingle_sets
 
-SKETCH, LISTED, BLOCK, SIGMAS, MANY = 32, 8, 512, 4.5, 4
+SKETCH, LISTED, BLOCK, SIGMAS, MANY = 32, 8, 512, 4.5, 8
 PERCENT = 85
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _PAIRS_AT_ONCE = 1 << 15
@@ -93,25 +93,40 @@ def similar(value: int, i: np.ndarray, j: np.ndarray, n: np.ndarray, sk: np.ndar
     return i[ok], j[ok], est[ok]
 
 
-def forest(i: np.ndarray, j: np.ndarray, est: np.ndarray) -> np.ndarray:
-    """Places of a maximum spanning forest."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (p := root.get(x, x)) != x:
-            root[x] = x = root.get(p, p)
-        return x
-
-    out, left = [], len(np.unique(np.concatenate([i, j]))) - 1
-    for k in np.argsort(-est, kind="stable").tolist():
-        a, b = find(int(i[k])), find(int(j[k]))
-        if a != b:
-            root[a] = b
-            out.append(k)
-            left -= 1
-            if not left:
-                break
-    return np.array(out, dtype=np.int64)
+def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """The size of the intersection of each two sets, from incidence matrices a bounded number of columns wide."""
+    m = len(sets)
+    row = np.repeat(np.arange(m), [len(x) for x in sets])
+    values, column, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    both = many > 1  # what one set alone holds is in no intersection
+    column = (np.cumsum(both) - 1)[column[both[column]]] if both.any() else np.zeros(0, np.int64)
+    row = row[both[np.searchsorted(values, np.concatenate(sets))]]
+    out = np.zeros((m, m), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, int(both.sum()), columns):
+        a, z = np.searchsorted(column, [at, at + columns])
+        x = np.zeros((m, columns), np.float32)
+        x[row[a:z], column[a:z] - at] = 1
+        out += x @ x.T
+    return out
+
+
+def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of an adjacency matrix."""
+    new = np.ones(len(linked), bool)
+    a, b = [], []
+    while new.any():
+        todo = [int(np.argmax(new))]
+        new[todo[0]] = False
+        while todo:
+            x = todo.pop()
+            found = np.flatnonzero(linked[x] & new)
+            new[found] = False
+            todo += found.tolist()
+            a += [x] * len(found)
+            b += found.tolist()
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def _pairs(side: np.ndarray, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -134,33 +149,43 @@ def _pairs(side: np.ndarray, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarr
             a += step
 
 
-def _compare(rest: bool):
-    """For sorted rows (v, bi, bj, side, cid, n, sketch[, component]): rows (a, b, v, bi, bj), b null for a list of
-    which only a forest was returned. rest: return all pairs between different components."""
-
-    def group(v, bi, bj, side, cid, n, sk, comp) -> Iterator[tuple[list[int], list[int | None]]]:
-        found = [similar(v, *x, n, sk) for x in _pairs(side, bi != bj)]
-        if not found:
+def _by_sketch(v, bi, bj, side, cid, n, sketch) -> Iterator[tuple[list[int], list[int | None]]]:
+    """The pairs of a list that may be links, or one row without b if they are many for its size."""
+    sk = np.full((len(sketch), SKETCH), _NONE)
+    for r, x in enumerate(sketch):
+        sk[r, : len(x)] = x
+    i, j, total = [], [], 0
+    for x in _pairs(side, bi != bj):
+        a, b, _ = similar(v, *x, n, sk)
+        i.append(a)
+        j.append(b)
+        total += len(a)
+        if total > MANY * len(cid):
+            yield [int(cid[0])], [None]
             return
-        i, j, est = (np.concatenate(x) for x in zip(*found, strict=True))
-        if rest:
-            ok = comp[i] != comp[j]
-            i, j = i[ok], j[ok]
-        elif len(i) > MANY * len(cid):
-            k = forest(i, j, est)
-            i, j = i[k], j[k]
-            yield [v], [None]
-        yield cid[i].tolist(), cid[j].tolist()
+    if total:
+        yield cid[np.concatenate(i)].tolist(), cid[np.concatenate(j)].tolist()
+
+
+def _exactly(v, bi, bj, side, cid, n, sets) -> Iterator[tuple[list[int], list[int | None]]]:
+    """A spanning forest of the links of a list."""
+    both = shared_counts(sets).astype(np.int64)
+    a, b = spanning(both * 100 >= PERCENT * (n[:, None] + n[None, :] - both))
+    yield cid[a].tolist(), cid[b].tolist()
+
+
+def _each_list(group):
+    """For rows (v, bi, bj, side, cid, n, values) sorted by list: what group returns, as (a, b, v, bi, bj)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def cut(b: pa.RecordBatch):
-            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
             lists = b.column(6)
-            offsets = np.asarray(lists.offsets)
-            sk = np.full((len(lists), SKETCH), _NONE)
-            many = np.diff(offsets)
-            sk[np.repeat(np.arange(len(lists)), many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)] = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            return [*cols, sk, b.column(7).to_numpy(zero_copy_only=False) if rest else cols[4]]
+            values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            offsets = np.asarray(lists.offsets) - np.asarray(lists.offsets)[0]
+            sets = np.empty(len(lists), object)
+            for r in range(len(lists)):
+                sets[r] = values[offsets[r] : offsets[r + 1]]
+            return [*(b.column(k).to_numpy(zero_copy_only=False) for k in range(6)), sets]
 
         waiting: list[list[np.ndarray]] = []
         a_out: list[int] = []
@@ -180,7 +205,7 @@ def _compare(rest: bool):
             for s, e in zip([0, *edge.tolist()], [*edge.tolist(), len(v)], strict=True):
                 if e - s > 1:
                     for a, b in group(np.int64(v[s]).view(np.uint64), bi[s], bj[s], *(c[s:e] for c in cols[3:])):
-                        a_out.extend(int(np.uint64(x).view(np.int64)) if b == [None] else x for x in a)
+                        a_out.extend(a)
                         b_out.extend(b)
                         key_out.extend([(int(v[s]), int(bi[s]), int(bj[s]))] * len(a))
 
@@ -213,29 +238,28 @@ def _members(classes: DataFrame, block: int) -> DataFrame:
     return lists.select("v", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "cid")
 
 
-def _candidates(members: DataFrame, classes: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    rows = members.join(classes.select("cid", "n", "sketch"), "cid")
-    extra = []
-    if labels is not None:
-        rows = rows.join(labels, "cid")
-        extra = ["component"]
+def _compared(rows: DataFrame, group) -> DataFrame:
     key = ["v", "bi", "bj"]
-    rows = rows.select(*key, "side", "cid", "n", "sketch", *extra).repartition(*key).sortWithinPartitions(*key)
-    return rows.mapInArrow(_compare(labels is not None), "a long, b long, v long, bi long, bj long")
+    rows = rows.select(*key, "side", "cid", "n", "values").repartition(*key).sortWithinPartitions(*key)
+    return rows.mapInArrow(_each_list(group), "a long, b long, v long, bi long, bj long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+def _links(docs: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+    """(a, b): pairs of classes whose full sets reach the threshold, enough of them for all components."""
+    members = _members(classes, block).checkpoint()
+    found = _compared(members.join(classes.select("cid", "n", F.col("sketch").alias("values")), "cid"), _by_sketch).checkpoint()
+    pairs = found.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
+    families = members.join(found.filter("b is null").select("v", "bi", "bj").distinct(), ["v", "bi", "bj"], "left_semi").checkpoint()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(families.select("cid")).distinct().checkpoint()
     texts = docs.select(F.col("doc_id").cast("long").alias("cid"), "text").join(wanted, "cid", "left_semi")
-    sigs = classes.join(wanted, "cid", "left_semi").select("cid", "sig")
-    sets = kept(full_sets(texts).dropDuplicates(["sig"]).join(sigs, "sig").select("cid", "shingles"), "sets")
+    sigs = classes.join(wanted, "cid", "left_semi").select("cid", "n", "sig")
+    sets = kept(full_sets(texts).dropDuplicates(["sig"]).join(sigs, "sig").select("cid", "n", "shingles"), "sets")
     a = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    rows = pairs.join(a, "a").join(b, "b")
-    return rows.filter(both * 100 >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct().checkpoint()
+    links = pairs.join(a, "a").join(b, "b").filter(both * 100 >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    in_families = _compared(families.join(sets.withColumnRenamed("shingles", "values"), "cid"), _exactly).select("a", "b")
+    return links.unionByName(in_families).distinct().checkpoint()
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -249,19 +273,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = kept(sketches(docs), "sketches")
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("sig", "n", "sketch").agg(F.min("doc_id").alias("cid"))
     classes = classes.checkpoint()
-    members = _members(classes, block).checkpoint()
-    found = _candidates(members, classes).checkpoint()
-    links = _verified(found.filter("b is not null"), classes, docs)
-    partial = found.filter("b is null").select("v", "bi", "bj").distinct()
-    labels = components(links)
-    if partial.head(1):
-        left = members.join(partial, ["v", "bi", "bj"], "left_semi")
-        node = labels.select(F.col("node").alias("cid"), "component")
-        every = left.select("cid").distinct().join(node, "cid", "left").select("cid", F.coalesce("component", "cid").alias("component"))
-        more = _candidates(left, classes, every).filter("b is not null")
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").checkpoint()
-        if more.head(1):
-            labels = components(links.unionByName(_verified(more, classes, docs)))
+    labels = components(_links(docs, classes, block))
     of = classes.select("sig", "cid").join(labels, F.col("cid") == F.col("node"), "left").select("sig", F.coalesce("component", "cid").alias("c"))
     out = rows.select("doc_id", "n", "sig").join(of, "sig", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("c")), F.col("doc_id")))
