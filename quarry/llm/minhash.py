@@ -28,7 +28,9 @@ from quarry.llm.common import kept, read, shared_dir
 from quarry.llm.graph import components
 from quarry.llm.words import shingle_sets
 
-SKETCH, LISTED, BLOCK, SIGMAS, MANY = 32, 8, 512, 4.5, 8
+SKETCH, LISTED, BLOCK, SIGMAS, MANY = 32, 8, 1024, 4.5, 8
+#: A block also holds about this many shingles at most, so that its full sets fit in memory.
+BLOCK_SHINGLES = 1 << 19
 PERCENT = 85
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _PAIRS_AT_ONCE = 1 << 15
@@ -230,9 +232,10 @@ def _each_list(group):
 
 def _members(classes: DataFrame, block: int) -> DataFrame:
     """(v, bi, bj, side, cid): who is compared in which list, or pair of a list's blocks."""
-    lists = classes.select("cid", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
-    many = lists.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1")
-    lists = lists.join(many, "v").withColumn("nb", F.ceil(F.col("m") / block))
+    lists = classes.select("cid", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
+    blocks = F.ceil(F.greatest(F.col("m") / block, F.col("size") / BLOCK_SHINGLES))
+    many = lists.groupBy("v").agg(F.count("*").alias("m"), F.sum("n").alias("size")).filter("m > 1").select("v", F.least("m", blocks).alias("nb"))
+    lists = lists.join(many, "v")
     lists = lists.withColumn("mine", F.when(F.col("nb") > 1, F.pmod(F.xxhash64("cid"), F.col("nb"))).otherwise(F.lit(0).cast("long")))
     lists = lists.select("v", "cid", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other"))
     return lists.select("v", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "cid")
