@@ -10,6 +10,8 @@ SPACES = np.zeros(256, bool)
 SPACES[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes of text that are worked on at once, but for a longer text.
+AT_ONCE = 1 << 21
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -64,6 +66,9 @@ def hashes(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarra
 def shingle_sets(column: pa.Array, size: int = 5) -> list[np.ndarray]:
     """The sorted set of shingle hashes of each row; fewer words than `size` make one shingle, none make none."""
     data, offsets = raw(column)
+    if len(data) > AT_ONCE and len(column) > 1:  # what is made on the way is many times the text
+        half = min(max(1, int(np.searchsorted(offsets, len(data) // 2))), len(column) - 1)
+        return shingle_sets(column.slice(0, half), size) + shingle_sets(column.slice(half), size)
     data = LOWER[data]
     begin, length, first = split(data, offsets)
     if not len(begin):
