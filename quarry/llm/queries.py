@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import media, minhash, mixing, packing, sharding, tokenids, vectors
+from quarry.llm import media, minhash, mixing, packing, secrets, sharding, tokenids, vectors
 
-QUERIES = {f.__name__: f for f in (packing.op1_best_fit_packing, media.op5_media_columns, minhash.op6_minhash_near_dedup, vectors.op7_projection_near_dedup, sharding.op8_vector_sharding, tokenids.op9_token_ids, mixing.op10_pfair_mixing)}
+QUERIES = {f.__name__: f for f in (packing.op1_best_fit_packing, secrets.op2_secret_scans, media.op5_media_columns, minhash.op6_minhash_near_dedup, vectors.op7_projection_near_dedup, sharding.op8_vector_sharding, tokenids.op9_token_ids, mixing.op10_pfair_mixing)}
 ORACLE_SQL: dict[str, str] = {}
