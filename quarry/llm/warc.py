@@ -130,7 +130,8 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
     """
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     digest = F.sha1("payload")
-    groups = rows.filter(F.length("payload") >= min_bytes).select(digest.alias("digest"), "page_id").groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("digest", "first")
+    groups = pages.select(F.col("page_id").cast("long").alias("page_id"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload")).filter(F.length("payload") >= min_bytes).select(digest.alias("digest"), "page_id").groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("digest", "first")
+    groups = kept(groups, "groups")  # its size is known then: pages are shuffled only where it is large
     role = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     rows = rows.withColumn("digest", digest).join(groups, "digest", "left").select("page_id", "row", "url", "payload", role.alias("refers_to"))
 
