@@ -106,6 +106,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         return rows.select("doc_id", F.array_sort("_full").alias("spans"))
     wanted = sorted(set().union(*map(grams, indexed.values())))
     found = candidates(postings(docs, wanted), indexed, wanted).withColumnRenamed("doc_id", "_id")
+    found = kept(found, "candidates")  # its size is known then: texts are shuffled only where it is large
     searched = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")))
     by_rule = [F.when(F.array_contains("rules", n), spans(F.col("text"), rules[n], n)).otherwise(none) for n in indexed]
     searched = searched.select(F.col("_id"), F.xxhash64("text").alias("_g"), F.concat(*by_rule).alias("_some")).filter(F.size("_some") > 0).distinct()
