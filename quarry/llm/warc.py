@@ -145,7 +145,10 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
 
 
 def read_archive(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """One row a record: what RECORDS names; error says why a record could not be put together or differs."""
+    """One row a record: what RECORDS names; error says why a record could not be put together or differs.
+
+    The archives are parsed when this is called; the rows do not need them afterwards.
+    """
     names = [x.split()[0] for x in _PARTS.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
     arrow = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in _PARTS.split(", ")])
@@ -205,6 +208,6 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_dir(spark)
     path = new_path(spark, "warc")
     write_archive(read(spark, sf_dir, "pages"), path)
-    out = kept(read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error"), "warc-rows")
-    drop_path(spark, path)
+    out = read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+    drop_path(spark, path)  # what was parsed is kept apart
     return out
