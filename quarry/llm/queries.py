@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import media, minhash, mixing, packing, secrets, sharding, tokenids, vectors, warc
+from quarry.llm import media, minhash, mixing, packing, secrets, sharding, tokenids, toxicity, vectors, warc
 
-QUERIES = {f.__name__: f for f in (packing.op1_best_fit_packing, secrets.op2_secret_scans, warc.op3_warc, media.op5_media_columns, minhash.op6_minhash_near_dedup, vectors.op7_projection_near_dedup, sharding.op8_vector_sharding, tokenids.op9_token_ids, mixing.op10_pfair_mixing)}
+QUERIES = {f.__name__: f for f in (packing.op1_best_fit_packing, secrets.op2_secret_scans, warc.op3_warc, toxicity.op4_toxicity, media.op5_media_columns, minhash.op6_minhash_near_dedup, vectors.op7_projection_near_dedup, sharding.op8_vector_sharding, tokenids.op9_token_ids, mixing.op10_pfair_mixing)}
 ORACLE_SQL: dict[str, str] = {}
