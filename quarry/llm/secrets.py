@@ -90,7 +90,7 @@ def candidates(index: DataFrame, rules: dict[int, object], wanted: list[str]) ->
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, spans for every row: an array of (start, kind: place of the rule, end), in that order.
+    """doc_id, text_hash, spans for every row: an array of (start, kind: place of the rule, end), in that order.
 
     A null text is empty and has no spans. Rows with one id, or without, are candidates together, and each is
     searched itself. An empty table gives no rows. Other columns are not read.
@@ -103,7 +103,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     none = F.expr(f"cast(array() as {_SPANS})")
     rows = docs.select("doc_id", F.xxhash64("text").alias("_h"), F.concat(none, *everywhere).alias("_full"))
     if not indexed:
-        return rows.select("doc_id", F.array_sort("_full").alias("spans"))
+        return rows.select("doc_id", F.col("_h").alias("text_hash"), F.array_sort("_full").alias("spans"))
     wanted = sorted(set().union(*map(grams, indexed.values())))
     found = candidates(postings(docs, wanted), indexed, wanted).withColumnRenamed("doc_id", "_id")
     found = kept(found, "candidates")  # its size is known then: texts are shuffled only where it is large
@@ -112,7 +112,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     searched = searched.select(F.col("_id"), F.xxhash64("text").alias("_g"), F.concat(*by_rule).alias("_some")).filter(F.size("_some") > 0).distinct()
     searched = kept(searched, "secrets")
     rows = rows.join(searched, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left")
-    return rows.select("doc_id", F.array_sort(F.concat("_full", F.coalesce("_some", none))).alias("spans"))
+    return rows.select("doc_id", F.col("_h").alias("text_hash"), F.array_sort(F.concat("_full", F.coalesce("_some", none))).alias("spans"))
 
 
 def joined(spans_column: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -128,6 +128,14 @@ def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(own, rules).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans"), rules).alias("spans"))
 
 
+def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[REDACTED]") -> DataFrame:
+    """docs with the spans of all rules replaced in text; rows without spans, and null texts, stay as they are."""
+    found = kept(scan(docs, rules).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_g"), "spans").distinct(), "found")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_g"))
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("spans"), mark))
+    return docs.drop("spans").join(found, same, "left").withColumn("text", text).select(*[c for c in docs.columns if c != "spans"])
+
+
 def redact(text: Column, spans_column: Column, mark: str = "[REDACTED]") -> Column:
     """The text with each span, or run of overlapping spans, replaced by the mark."""
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
