@@ -36,8 +36,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their rows and files in the order of the interleaved blocks."""
     plan = mixing.mix(docs.select("doc_id", "source"))
-    place = plan.groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct("slot", "row_in_block")).alias("_place"))
-    return docs.join(place, F.col("doc_id").eqNullSafe(F.col("_id"))).repartitionByRange("_place").sortWithinPartitions("_place").select(*docs.columns)
+    place = plan.groupBy(F.col("doc_id").alias("_quarry_id")).agg(F.min(F.struct("slot", "row_in_block")).alias("_quarry_place"))
+    return docs.join(place, F.col("doc_id").eqNullSafe(F.col("_quarry_id"))).repartitionByRange("_quarry_place").sortWithinPartitions("_quarry_place").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
