@@ -109,7 +109,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     hint = F.broadcast if len(slots) + len(segments) + len(starts) <= BROADCAST_ROWS else lambda x: x
     seg = small_table(spark, segments, "source string, phase int, first long, last long, begin long, share long, period long")
     seg = seg.join(small_table(spark, starts, "source string, start long"), "source").withColumnRenamed("source", "_s")
-    rows = global_index(docs.withColumn("_s", key), [F.col("_s"), F.col("doc_id")], "_idx")
+    rows = global_index(docs.select(F.struct("*").alias("_row"), key.alias("_s")), [F.col("_s"), F.col("_row.doc_id")], "_idx")
     rows = rows.join(hint(small_table(spark, starts, "source string, start long").withColumnRenamed("source", "_s")), "_s")
     rows = rows.withColumn("_rank", F.col("_idx") - F.col("start")).drop("start", "_idx")
     rows = rows.withColumns({"block": F.expr(f"_rank div {block_rows}"), "row_in_block": F.expr(f"_rank % {block_rows}")})
@@ -119,7 +119,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     rows = rows.alias("r").join(hint(order).alias("o"), F.expr("r.phase = o.phase and r._s = o.source and r._nth = o.nth")).select("r.*", "o.slot_in")
     base = F.expr("begin + _round * period")
     return rows.select(
-        *docs.columns, "block", (base + F.expr("(_nth * period) div share")).alias("release"), (base + F.expr("((_nth + 1) * period + share - 1) div share")).alias("deadline"), (base + F.col("slot_in")).alias("slot"), "row_in_block", "phase"
+        "_row.*", "block", (base + F.expr("(_nth * period) div share")).alias("release"), (base + F.expr("((_nth + 1) * period + share - 1) div share")).alias("deadline"), (base + F.col("slot_in")).alias("slot"), "row_in_block", "phase"
     )
 
 

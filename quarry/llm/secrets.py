@@ -130,10 +130,11 @@ def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[REDACTED]") -> DataFrame:
     """docs with the spans of all rules replaced in text; rows without spans, and null texts, stay as they are."""
-    found = kept(scan(docs, rules).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_g"), "spans").distinct(), "found")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_g"))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("spans"), mark))
-    return docs.drop("spans").join(found, same, "left").withColumn("text", text).select(*[c for c in docs.columns if c != "spans"])
+    found = scan(docs, rules).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_quarry_id"), F.col("text_hash").alias("_quarry_hash"), F.col("spans").alias("_quarry_spans")).distinct()
+    found = kept(found, "found")
+    same = F.col("doc_id").eqNullSafe(F.col("_quarry_id")) & (F.xxhash64("text") == F.col("_quarry_hash"))
+    text = F.when(F.col("_quarry_spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("_quarry_spans"), mark))
+    return docs.join(found, same, "left").withColumn("text", text).select(*docs.columns)
 
 
 def redact(text: Column, spans_column: Column, mark: str = "[REDACTED]") -> Column:

@@ -274,7 +274,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    return docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), "*").mapInArrow(run, schema)
+    return docs.select(F.coalesce(F.col(text), F.lit("")).alias("_quarry_text"), "*").mapInArrow(run, schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,7 +69,7 @@ def records(page_id: int | None, row: int, url: str | None, payload: bytes, refe
     """The record of a page, in as many segments as it needs, each without the closing line ends."""
     ident = f"<urn:page:{'' if page_id is None else page_id}:{row}>"
     headers = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", ident), ("WARC-Date", date)]
-    headers += [("WARC-Target-URI", _line(url))] * (url is not None)
+    headers += [("WARC-Target-URI", _line(url))] if url is not None else []
     headers += [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest32(payload)}"), ("X-Payload-Length", str(len(payload)))]
     if refers_to is not None:
         return [_record([*headers, ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", PROFILE)], HTTP)]
