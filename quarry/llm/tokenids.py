@@ -23,15 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import drop_path, new_path, read, small_table
+from quarry.llm.words import LOWER, SPACES, hashes, raw, split
 
 BLOCK = 128
 #: Ids a word and bits an id, by selector. Fixed values of Simple-8b, but for 0 (escape) and 1 (zeros).
 COUNT = np.array([1, BLOCK, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 HEAD = struct.Struct("<4sIQII")
-#: Entries in a worker's dictionaries before they are begun anew; bounds on memory only.
-CACHE_WORDS, CACHE_PARTS = 250_000, 100_000
-FRAME_IDS = 1 << 17
+#: Ids a frame, about.
+FRAME_IDS = 1 << 19
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
@@ -156,137 +156,153 @@ def frames(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield docs, unpack(words, starts, n_ids)
 
 
-class Cache:
-    """At most 2 * size entries: when `now` is full it becomes `before`, and what is asked for again returns."""
-
-    def __init__(self, size: int):
-        self.size, self.now, self.before = size, {}, {}
+#: Marks that may follow letters; the tokenizer takes a run of them as one piece. An apostrophe can begin another.
+MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+PROBE = "the quick brown fox été größe niño façade s t re ll antidisestablishmentarianism"
+#: Classes of bytes: white space, lower-case letters (with the Latin-1 ones, see _classes), marks, all others.
+_SPACE, _LETTER, _MARK, _OTHER = range(4)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[97:123], _CLASS[[ord(c) for c in MARKS]], _CLASS[SPACES] = _LETTER, _MARK, _SPACE
+#: Bytes of text that are encoded at once, but for a longer text.
+SLICE = 1 << 23
+
+
+def _lowered(data: np.ndarray) -> np.ndarray:
+    """Letters of ASCII and Latin-1 in lower case."""
+    data = LOWER[data]
+    two = np.flatnonzero(data[:-1] == 0xC3) + 1
+    two = two[(data[two] <= 0x9E) & (data[two] != 0x97)]
+    data[two] += 0x20
+    return data
+
+
+def _classes(data: np.ndarray) -> np.ndarray:
+    out = _CLASS[data]
+    two = np.flatnonzero(data[:-1] == 0xC3)
+    two = two[(data[two + 1] > 0x9E) & (data[two + 1] != 0xB7)]
+    out[two] = out[two + 1] = _LETTER
+    return out
 
-    def room(self, n: int) -> None:
-        if len(self.now) + n > self.size:
-            self.now, self.before = {}, self.now
 
-    def missing(self, keys) -> list[str]:
-        """Those of keys that neither has; the others are in `now` afterwards."""
-        out = []
-        for k in keys:
-            if k not in self.now:
-                if (x := self.before.get(k)) is None:
-                    out.append(k)
-                else:
-                    self.now[k] = x
-        return out
+class Encoder:
+    """Texts -> their ids, each text's followed by the end id.
 
+    The tokenizer splits at white space before anything else and drops it, and parts letters from the marks that
+    follow them; so the ids of a text are those of its words, and of the two parts of a word in letters and final
+    marks. Each distinct part of a slice of texts is encoded once: parts are told apart by a 64-bit hash of their
+    bytes, letters in lower case as the tokenizer puts them itself. Those in lower-case letters go to the tokenizer
+    in one text, in which the ids that end a word tell them apart; for them, normalising and the search for word
+    boundaries find nothing to do and are left out. All others are encoded as they are.
+    """
 
-#: Marks that may follow letters; the tokenizer takes a run of them as one piece. An apostrophe can begin another.
-MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
-PROBE = "the quick brown fox été größe niño façade s t re ll antidisestablishmentarianism"
-_KNOWN: dict[str, tuple[Cache, Cache]] = {}
+    def __init__(self, tokenizer_path: str, end_id: int):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.end, self.plain = end_id, None
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix and "Lowercase" in str(self.tokenizer.normalizer):
+            self.ends_word = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+            self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+            plain = Tokenizer.from_file(tokenizer_path)
+            plain.normalizer = normalizers.Sequence([])
+            plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            if plain.encode(PROBE).ids == self.tokenizer.encode(PROBE).ids:
+                self.plain = plain
+
+    def _parts(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, length, whether in letters alone) of the parts of words, in order."""
+        kind = _classes(data)
+        odd = np.concatenate([[0], np.cumsum(kind == _OTHER)])
+        turn = np.zeros(len(data), bool)  # marks and then letters
+        turn[1:] = (kind[:-1] == _MARK) & (kind[1:] == _LETTER)
+        odd[1:] += np.cumsum(turn)
+        end = begin + length
+        plain = (odd[end] == odd[begin + 1]) & (kind[begin] != _OTHER)
+        mark = np.concatenate([[0], np.cumsum(kind == _MARK)])
+        marks = np.where(plain, mark[end] - mark[begin], 0)
+        cut = np.flatnonzero(plain & (marks > 0) & (marks < length))
+        starts = np.concatenate([begin, end[cut] - marks[cut]])
+        sizes = np.concatenate([length, marks[cut]])
+        sizes[cut] -= marks[cut]
+        letters = np.concatenate([plain & (marks < length), np.zeros(len(cut), bool)])
+        order = np.argsort(starts, kind="stable")
+        return starts[order], sizes[order], letters[order]
+
+    def _encode_letters(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, how many each has) of parts in letters, or None if they cannot be told apart."""
+        wide = length + 1
+        after = np.cumsum(wide)
+        joined = data[np.minimum(np.repeat(begin - (after - wide), wide) + np.arange(after[-1]), len(data) - 1)]
+        joined[after - 1] = 32
+        ids = np.array(self.plain.encode_batch_fast([joined.tobytes().decode("utf-8")], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(begin) else None
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows in turn, how many are each row's) of a string column without nulls."""
+        data, offsets = raw(column)
+        if len(data) > SLICE and len(column) > 1:
+            half = min(max(1, int(np.searchsorted(offsets, len(data) // 2))), len(column) - 1)
+            a, b = self.encode(column.slice(0, half)), self.encode(column.slice(half))
+            return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        text = data.tobytes()
+        if self.plain and b"<|" not in text:  # special tokens are found before letters are put in lower case
+            data = _lowered(data)
+        begin, length, first = split(data, offsets)
+        if not len(begin):
+            return np.full(len(column), self.end, "<u4"), np.ones(len(column), np.int64)
+        letters = np.zeros(len(begin), bool)
+        if self.plain:
+            begin, length, letters = self._parts(data, begin, length)
+            first = np.searchsorted(begin, offsets)
+        _, at, which = np.unique(hashes(data, begin, length), return_index=True, return_inverse=True)
+        begin, length, letters = begin[at], length[at], letters[at]
+        plain = np.flatnonzero(letters)
+        found = self._encode_letters(data, begin[plain], length[plain]) if len(plain) else None
+        if found is None:
+            plain, found = plain[:0], (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        rest = np.ones(len(at), bool)
+        rest[plain] = False
+        rest = np.flatnonzero(rest)
+        words = [text[a : a + n].decode("utf-8") for a, n in zip(begin[rest].tolist(), length[rest].tolist(), strict=True)]
+        others = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        many = np.zeros(len(at), np.int64)
+        many[plain], many[rest] = found[1], np.fromiter(map(len, others), np.int64, len(others))
+        flat = np.concatenate([found[0], np.array([i for x in others for i in x], dtype="<u4")])
+        start = np.zeros(len(at), np.int64)
+        start[plain] = np.cumsum(found[1]) - found[1]
+        start[rest] = len(found[0]) + np.cumsum(many[rest]) - many[rest]
+        n = many[which]
+        after = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(start[which] - after[:-1], n) + np.arange(after[-1])]
+        return np.insert(ids, after[first[1:]], self.end), np.diff(after[first]) + 1
 
 
 def encoder(tokenizer_path: str, end_id: int):
-    """text -> its ids and the end id as little-endian u32.
+    """text -> its ids and the end id as little-endian u32."""
+    e = Encoder(tokenizer_path, end_id)
+    return lambda text: e.encode(pa.array([text]))[0].astype("<u4").tobytes()
 
-    The tokenizer splits at white space before anything else and drops it, so the ids of a text are those of its
-    words in turn; a worker encodes each word once. It also splits letters from what follows them, so of a word in
-    letters and final punctuation the two parts are encoded. New words of letters go to the tokenizer in one call;
-    the ids that end a word tell them apart again.
-    """
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    words_known, parts_known = _KNOWN.setdefault(tokenizer_path, (Cache(CACHE_WORDS), Cache(CACHE_PARTS)))
-    end = end_id.to_bytes(4, "little")
-    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
-    lowers = "Lowercase" in str(tokenizer.normalizer)
-    ends_word = np.zeros(1, bool)
-    if suffix:
-        ends_word = np.zeros(tokenizer.get_vocab_size() + 1, bool)
-        ends_word[[i for t, i in tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
-
-    plain = tokenizer
-    if suffix:  # for lower-case letters alone, normalising and the search for word boundaries find nothing to do
-        from tokenizers import normalizers, pre_tokenizers
-
-        quick = Tokenizer.from_file(tokenizer_path)
-        quick.normalizer = normalizers.Sequence([])
-        quick.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        if quick.encode(PROBE).ids == tokenizer.encode(PROBE).ids:
-            plain = quick
-
-    def latin(text: str) -> bool:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return False
-        return True
-
-    def one_by_one(new: list[str]) -> None:
-        for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            parts_known.now[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def learn(new: list[str]) -> None:
-        letters = [w for w in new if w.isalpha() and w.islower() and (w.isascii() or latin(w))] if suffix else []
-        if letters:
-            ids = np.array(plain.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = 4 * (np.flatnonzero(ends_word[ids]) + 1)
-            if len(ends) == len(letters):
-                raw, ends = ids.tobytes(), ends.tolist()
-                parts_known.now.update(zip(letters, [raw[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
-        one_by_one([w for w in new if w not in parts_known.now])
-
-    def parts(word: str) -> tuple[str, ...]:
-        head = word.rstrip(MARKS)
-        return (head, word[len(head) :]) if suffix and head != word and head.lower().isalpha() else (word,)
-
-    def encode(text: str) -> bytes:
-        if lowers and latin(text):
-            text = text.lower()  # each Latin-1 letter has one lower case: words that differ in case alone share an entry
-        words = text.split()
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python but not to the tokenizer
-            words = [text]
-        ids = list(map(words_known.now.get, words))
-        if None in ids:
-            gaps = [i for i, x in enumerate(ids) if x is None]
-            asked = {words[i] for i in gaps}
-            words_known.room(len(asked))
-            cut = {w: parts(w) for w in words_known.missing(asked)}
-            pieces = {p for x in cut.values() for p in x}
-            parts_known.room(len(pieces))
-            learn(parts_known.missing(pieces))
-            known, made = words_known.now, parts_known.now
-            for w, x in cut.items():
-                known[w] = made[x[0]] if len(x) == 1 else made[x[0]] + made[x[1]]
-            for i in gaps:
-                ids[i] = known[words[i]]
-        ids.append(end)
-        return b"".join(ids)
-
-    return encode
-
-
-def write_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, frames_per_file: int = 64) -> None:
+
+def write_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, frames_per_file: int = 32) -> None:
     """Writes the files under path; their names ascend with doc_id (null ids first)."""
     schema = "frame binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path, end_id)
-        ids, counts, parts, size = [], [], [], 0
+        encoder = Encoder(tokenizer_path, end_id)
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                part = encode(t.as_py())
-                ids.append(d)
-                counts.append(len(part) // 4)
-                parts.append(part)
-                size += counts[-1]
-                if size >= FRAME_IDS:
-                    yield pa.RecordBatch.from_arrays([pa.array([frame(ids, counts, np.frombuffer(b"".join(parts), "<u4"))], pa.binary())], names=["frame"])
-                    ids, counts, parts, size = [], [], [], 0
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array([frame(ids, counts, np.frombuffer(b"".join(parts), "<u4"))], pa.binary())], names=["frame"])
+            at = 0
+            while at < len(b):  # as many rows as make about a frame
+                sizes = np.diff(raw(b.column(1).slice(at))[1])
+                rows = max(1, int(np.searchsorted(np.cumsum(sizes), 3 * FRAME_IDS, side="right")))
+                part = b.slice(at, rows)
+                ids, counts = encoder.encode(part.column(1))
+                yield pa.RecordBatch.from_arrays([pa.array([frame(part.column(0).to_pylist(), counts.tolist(), ids)], pa.binary())], names=["frame"])
+                at += rows
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
