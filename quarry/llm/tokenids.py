@@ -34,9 +34,14 @@ HEAD = struct.Struct("<4sIQII")
 FRAME_IDS = 1 << 19
 
 
+_WIDTH_OF = np.frompyfunc(int.bit_length, 1, 1)(range(1 << 16)).astype(np.uint8)
+
+
 def _widths(ids: np.ndarray) -> np.ndarray:
-    width = np.zeros(len(ids), np.uint8)
     top = int(ids.max()).bit_length() if len(ids) else 0
+    if top <= 16:
+        return _WIDTH_OF[ids]
+    width = np.zeros(len(ids), np.uint8)
     for b in range(top):
         width += ids >= np.uint64(1 << b)
     return width
@@ -89,10 +94,17 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if s == 0:
             words[here + 1] = ids[first]
         elif s > 1:
-            many = step[first]
+            full = step[first] == COUNT[s]
+            packed, at_ = np.zeros(len(rows), np.uint64), first[full]
+            whole = np.zeros(len(at_), np.uint64)
             for j in range(int(COUNT[s])):
-                ok = many > j
-                words[here[ok]] |= ids[first[ok] + j] << np.uint64(j * int(BITS[s]))
+                whole |= ids[at_ + j] << np.uint64(j * int(BITS[s]))
+            packed[full] = whole
+            part = np.flatnonzero(~full)
+            for j in range(int(COUNT[s]) if len(part) else 0):
+                ok = part[step[first[part]] > j]
+                packed[ok] |= ids[first[ok] + j] << np.uint64(j * int(BITS[s]))
+            words[here] |= packed
     return words, place[np.searchsorted(begin, np.arange(0, n, BLOCK))].astype(np.uint32)
 
 
@@ -296,13 +308,16 @@ def write_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1
         encoder = Encoder(tokenizer_path, end_id)
         for b in batches:
             at = 0
-            while at < len(b):  # as many rows as make about a frame
+            while at < len(b):  # as many rows as make about a slice, in frames
                 sizes = np.diff(raw(b.column(1).slice(at))[1])
-                rows = max(1, int(np.searchsorted(np.cumsum(sizes), 3 * FRAME_IDS, side="right")))
-                part = b.slice(at, rows)
+                part = b.slice(at, max(1, int(np.searchsorted(np.cumsum(sizes), SLICE, side="right"))))
+                at += len(part)
                 ids, counts = encoder.encode(part.column(1))
-                yield pa.RecordBatch.from_arrays([pa.array([frame(part.column(0).to_pylist(), counts.tolist(), ids)], pa.binary())], names=["frame"])
-                at += rows
+                names, ends = part.column(0).to_pylist(), np.cumsum(counts)
+                cuts = np.flatnonzero(np.diff(ends // FRAME_IDS, append=-1)) + 1
+                for a, z in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                    made = frame(names[a:z], counts[a:z].tolist(), ids[ends[a] - counts[a] : ends[z - 1]])
+                    yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["frame"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
