@@ -175,8 +175,8 @@ PROBE = "the quick brown fox été größe niño façade s t re ll antidisestabl
 _SPACE, _LETTER, _MARK, _OTHER = range(4)
 _CLASS = np.full(256, _OTHER, np.uint8)
 _CLASS[97:123], _CLASS[[ord(c) for c in MARKS]], _CLASS[SPACES] = _LETTER, _MARK, _SPACE
-#: Bytes of text that are encoded at once, but for a longer text.
-SLICE = 1 << 23
+#: Bytes of text that are encoded at once, but for a longer text; words in letters that the tokenizer gets at once.
+SLICE, AT_ONCE = 1 << 23, 10_000
 
 
 def _lowered(data: np.ndarray) -> np.ndarray:
@@ -228,14 +228,15 @@ class Encoder:
     def _parts(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(begin, length, whether in letters alone) of the parts of words, in order."""
         kind = _classes(data)
-        odd = np.concatenate([[0], np.cumsum(kind == _OTHER)])
-        turn = np.zeros(len(data), bool)  # marks and then letters
-        turn[1:] = (kind[:-1] == _MARK) & (kind[1:] == _LETTER)
-        odd[1:] += np.cumsum(turn)
         end = begin + length
-        plain = (odd[end] == odd[begin + 1]) & (kind[begin] != _OTHER)
-        mark = np.concatenate([[0], np.cumsum(kind == _MARK)])
-        marks = np.where(plain, mark[end] - mark[begin], 0)
+        turn = kind == _OTHER
+        turn[1:] |= (kind[:-1] == _MARK) & (kind[1:] == _LETTER)  # marks and then letters
+        odd = np.cumsum(turn, dtype=np.int32)
+        plain = (odd[end - 1] == odd[begin]) & (kind[begin] != _OTHER)
+        del odd, turn
+        mark = np.cumsum(kind == _MARK, dtype=np.int32)
+        marks = np.where(plain, mark[end - 1] - mark[begin] + (kind[begin] == _MARK), 0)
+        del mark, kind
         cut = np.flatnonzero(plain & (marks > 0) & (marks < length))
         starts = np.concatenate([begin, end[cut] - marks[cut]])
         sizes = np.concatenate([length, marks[cut]])
@@ -246,13 +247,19 @@ class Encoder:
 
     def _encode_letters(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """(ids, how many each has) of parts in letters, or None if they cannot be told apart."""
-        wide = length + 1
-        after = np.cumsum(wide)
-        joined = data[np.minimum(np.repeat(begin - (after - wide), wide) + np.arange(after[-1]), len(data) - 1)]
-        joined[after - 1] = 32
-        ids = np.array(self.plain.encode_batch_fast([joined.tobytes().decode("utf-8")], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
-        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(begin) else None
+        out, sizes = [], []
+        for i in range(0, len(begin), AT_ONCE):  # what the tokenizer keeps of a text is many times its size
+            first, wide = begin[i : i + AT_ONCE], length[i : i + AT_ONCE] + 1
+            after = np.cumsum(wide)
+            joined = data[np.minimum(np.repeat(first - (after - wide), wide) + np.arange(after[-1]), len(data) - 1)]
+            joined[after - 1] = 32
+            ids = np.array(self.plain.encode_batch_fast([joined.tobytes().decode("utf-8")], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(first):
+                return None
+            out.append(ids)
+            sizes.append(np.diff(ends, prepend=0))
+        return np.concatenate(out), np.concatenate(sizes)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows in turn, how many are each row's) of a string column without nulls."""
@@ -290,8 +297,9 @@ class Encoder:
         start[rest] = len(found[0]) + np.cumsum(many[rest]) - many[rest]
         n = many[which]
         after = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(start[which] - after[:-1], n) + np.arange(after[-1])]
-        return np.insert(ids, after[first[1:]], self.end), np.diff(after[first]) + 1
+        place = np.repeat((start[which] - after[:-1]).astype(np.int32), n)
+        place += np.arange(after[-1], dtype=np.int32)
+        return np.insert(flat[place], after[first[1:]], self.end), np.diff(after[first]) + 1
 
 
 def encoder(tokenizer_path: str, end_id: int):
