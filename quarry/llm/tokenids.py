@@ -177,6 +177,8 @@ _CLASS = np.full(256, _OTHER, np.uint8)
 _CLASS[97:123], _CLASS[[ord(c) for c in MARKS]], _CLASS[SPACES] = _LETTER, _MARK, _SPACE
 #: Bytes of text that are encoded at once, but for a longer text; words in letters that the tokenizer gets at once.
 SLICE, AT_ONCE = 1 << 23, 10_000
+#: Parts in letters that a worker knows at most; a bound on memory only.
+KNOWN = 1_500_000
 
 
 def _lowered(data: np.ndarray) -> np.ndarray:
@@ -196,6 +198,32 @@ def _classes(data: np.ndarray) -> np.ndarray:
     return out
 
 
+class Known:
+    """Ids of parts by hash: sorted arrays, a few bytes an entry, begun anew beyond `limit` entries."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.start, self.many, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, "<u4")
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each key, whether it is there)."""
+        at = np.searchsorted(self.keys, keys)
+        return at, self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, many: np.ndarray) -> None:
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.start = np.insert(self.start, at, len(self.flat) + np.cumsum(many) - many)
+        self.many = np.insert(self.many, at, many)
+        self.flat = np.concatenate([self.flat, ids])
+
+
+_KNOWN: dict[str, Known] = {}
+
+
 class Encoder:
     """Texts -> their ids, each text's followed by the end id.
 
@@ -214,6 +242,7 @@ class Encoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.end, self.plain = end_id, None
+        self.known = _KNOWN.setdefault(tokenizer_path, Known(KNOWN))
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         if suffix and "Lowercase" in str(self.tokenizer.normalizer):
@@ -278,23 +307,28 @@ class Encoder:
         if self.plain:
             begin, length, letters = self._parts(data, begin, length)
             first = np.searchsorted(begin, offsets)
-        _, at, which = np.unique(hashes(data, begin, length), return_index=True, return_inverse=True)
+        keys, at, which = np.unique(hashes(data, begin, length), return_index=True, return_inverse=True)
         begin, length, letters = begin[at], length[at], letters[at]
-        plain = np.flatnonzero(letters)
-        found = self._encode_letters(data, begin[plain], length[plain]) if len(plain) else None
-        if found is None:
-            plain, found = plain[:0], (np.zeros(0, "<u4"), np.zeros(0, np.int64))
-        rest = np.ones(len(at), bool)
-        rest[plain] = False
+        many, start, rest = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), ~letters
+        if letters.any():
+            if len(self.known.keys) + int(letters.sum()) > self.known.limit:
+                self.known.clear()
+            new = np.flatnonzero(letters)
+            new = new[~self.known.find(keys[new])[1]]
+            found = self._encode_letters(data, begin[new], length[new]) if len(new) else None
+            if found is not None:
+                self.known.add(keys[new], *found)
+            elif len(new):
+                rest[new] = True
+            plain = np.flatnonzero(~rest)
+            place, _ = self.known.find(keys[plain])
+            many[plain], start[plain] = self.known.many[place], self.known.start[place]
         rest = np.flatnonzero(rest)
         words = [text[a : a + n].decode("utf-8") for a, n in zip(begin[rest].tolist(), length[rest].tolist(), strict=True)]
         others = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        many = np.zeros(len(at), np.int64)
-        many[plain], many[rest] = found[1], np.fromiter(map(len, others), np.int64, len(others))
-        flat = np.concatenate([found[0], np.array([i for x in others for i in x], dtype="<u4")])
-        start = np.zeros(len(at), np.int64)
-        start[plain] = np.cumsum(found[1]) - found[1]
-        start[rest] = len(found[0]) + np.cumsum(many[rest]) - many[rest]
+        many[rest] = np.fromiter(map(len, others), np.int64, len(others))
+        start[rest] = len(self.known.flat) + np.cumsum(many[rest]) - many[rest]
+        flat = np.concatenate([self.known.flat, np.array([i for x in others for i in x], dtype="<u4")])
         n = many[which]
         after = np.concatenate([[0], np.cumsum(n)])
         place = np.repeat((start[which] - after[:-1]).astype(np.int32), n)
