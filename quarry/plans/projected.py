@@ -33,23 +33,44 @@ def arrays(rows: DataFrame, merge: bool | None = None) -> DataFrame:
     return each.groupBy("ranks").agg(F.array_sort(F.collect_list(F.struct("p", "u"))).alias("x"), F.max("many").alias("many")).select("ranks", F.col("x.u").alias("utils"), "many")
 
 
-def deal(tx: DataFrame) -> DataFrame:
-    """Rows (prefix, own, ranks, utils, many) dealt by the next item of their suffix."""
-    each = tx.select("prefix", "own", "ranks", "utils", "many", F.posexplode("ranks").alias("p", "r"))
+def heads(tx: DataFrame) -> DataFrame:
+    """Rows (prefix, own, ranks, utils, many) once for each of their items, with its place p and rank r."""
+    return tx.select("prefix", "own", "ranks", "utils", "many", F.posexplode("ranks").alias("p", "r"))
+
+
+def measured(each: DataFrame) -> DataFrame:
+    """(ranks, utility, bound, support, n) of each head's group: n items would be dealt to it."""
+    here, after = F.col("own") + F.expr("utils[p]"), F.expr("aggregate(slice(utils, p + 2, size(utils)), 0L, (a, x) -> a + x)")
+    rows = each.select("prefix", "r", here.alias("here"), (here + after).alias("most"), "many", (F.size("ranks") - F.col("p")).alias("n"))
+    groups = rows.groupBy("prefix", "r").agg(F.sum("here").alias("utility"), F.sum("most").alias("bound"), F.sum("many").alias("support"), F.sum("n").alias("n"))
+    return groups.select("prefix", "r", F.concat("prefix", F.array("r")).alias("ranks"), "utility", "bound", "support", "n")
+
+
+def deal(each: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of the wanted heads: prefix, what it holds already, and what may follow."""
+    each = each.join(wanted.select("prefix", "r"), ["prefix", "r"], "left_semi")
     return each.select(F.concat("prefix", F.array("r")).alias("prefix"), (F.col("own") + F.expr("utils[p]")).alias("own"), F.expr("slice(ranks, p + 2, size(ranks))").alias("ranks"), F.expr("slice(utils, p + 2, size(utils))").alias("utils"), "many")
 
 
-def search(rows: pd.DataFrame, k: int, theta: int) -> list[tuple[list[int], int, int]]:
-    """(ranks, utility, support) of the group's sets that may be among the k largest, depth first over utility lists."""
-    prefix = [int(x) for x in rows["prefix"].iloc[0]]
-    own, many = rows["own"].to_numpy(np.int64), rows["many"].to_numpy(np.int64)
-    sizes = rows["ranks"].map(len).to_numpy()
-    tid = np.repeat(np.arange(len(rows)), sizes)
-    rank = np.concatenate([np.asarray(x, np.int64) for x in rows["ranks"]]) if sizes.sum() else np.zeros(0, np.int64)
-    util = np.concatenate([np.asarray(x, np.int64) for x in rows["utils"]]) if sizes.sum() else np.zeros(0, np.int64)
+def search(prefix: list[int], own: np.ndarray, many: np.ndarray, ranks: list, utils: list, k: int, theta: int) -> list[tuple[list[int], int, int]]:
+    """(ranks, utility, support) of the group's sets that may be among the k largest, depth first over utility lists.
+
+    An item leaves first if all that the transactions with it hold in this group is less than theta.
+    """
+    sizes = np.fromiter(map(len, ranks), np.int64, len(ranks))
+    tid = np.repeat(np.arange(len(ranks)), sizes)
+    rank = np.concatenate(ranks).astype(np.int64) if len(tid) else tid
+    util = np.concatenate(utils).astype(np.int64) if len(tid) else tid
+    if len(tid):
+        whole = own + np.bincount(tid, util, len(ranks)).astype(np.int64) if util.sum() < 1 << 53 else own + np.array([int(sum(x)) for x in utils])
+        values, item = np.unique(rank, return_inverse=True)
+        most = np.zeros(len(values), np.int64)
+        np.add.at(most, item, whole[tid])
+        stay = most[item] >= theta
+        tid, rank, util = tid[stay], rank[stay], util[stay]
     total = np.cumsum(util)
-    last = np.cumsum(sizes)[tid] - 1 if len(tid) else tid
-    rest = total[last] - total if len(tid) else util
+    last = np.searchsorted(tid, tid, side="right") - 1
+    rest = total[last] - total
     order = np.lexsort((tid, rank))
     tid, rank, util, rest = tid[order], rank[order], util[order], rest[order]
     edge = np.flatnonzero(np.append(rank[:1] == rank[:1], rank[1:] != rank[:-1])).tolist()
@@ -58,10 +79,10 @@ def search(rows: pd.DataFrame, k: int, theta: int) -> list[tuple[list[int], int,
     best: list[int] = []
     least = theta
 
-    def take(ranks: list[int], utility: int, support: int) -> None:
+    def take(found: list[int], utility: int, support: int) -> None:
         nonlocal least
         if utility >= least:
-            out.append((ranks, utility, support))
+            out.append((found, utility, support))
             if len(best) < k:
                 heapq.heappush(best, utility)
             elif utility > best[0]:
@@ -70,10 +91,10 @@ def search(rows: pd.DataFrame, k: int, theta: int) -> list[tuple[list[int], int,
                 least = max(least, best[0])
 
     take(prefix, int(own.sum()), int(many.sum()))
-    place = np.full(len(rows), -1, np.int64)
-    stack = [(prefix, np.arange(len(rows)), own, 0)]
+    place = np.full(len(ranks), -1, np.int64)
+    stack = [(prefix, np.arange(len(ranks)), own, 0)]
     while stack:
-        ranks, tids, sums, after = stack.pop()
+        path, tids, sums, after = stack.pop()
         place[tids] = np.arange(len(tids))
         grown = []
         for n in range(after, len(items)):
@@ -84,9 +105,9 @@ def search(rows: pd.DataFrame, k: int, theta: int) -> list[tuple[list[int], int,
                 continue
             mine = sums[at[ok]] + u[ok]
             utility = int(mine.sum())
-            take([*ranks, r], utility, int(many[t[ok]].sum()))
+            take([*path, r], utility, int(many[t[ok]].sum()))
             if utility + int(rem[ok].sum()) >= least:
-                grown.append(([*ranks, r], t[ok], mine, n + 1))
+                grown.append(([*path, r], t[ok], mine, n + 1))
         place[tids] = -1
         stack += grown
     return [x for x in out if x[1] >= least]
@@ -94,26 +115,33 @@ def search(rows: pd.DataFrame, k: int, theta: int) -> list[tuple[list[int], int,
 
 def mine(rows: DataFrame, k: int, theta: int, cells: int = CELLS, merge: bool | None = None, stats: dict | None = None) -> DataFrame:
     stats = {} if stats is None else stats
-    tx = arrays(rows, merge).select(F.expr("cast(array() as array<int>)").alias("prefix"), F.lit(0).cast("long").alias("own"), "ranks", "utils", "many")
+    tx = cut(arrays(rows, merge)).select(F.expr("cast(array() as array<int>)").alias("prefix"), F.lit(0).cast("long").alias("own"), "ranks", "utils", "many")
     found, levels = [], 0
-    after = F.aggregate("utils", F.lit(0).cast("long"), lambda a, x: a + x)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(search(group, k, theta), columns=["ranks", "utility", "support"])
+    def run(groups: pd.DataFrame) -> pd.DataFrame:
+        """A bucket of groups: small ones share a call."""
+        prefix, own, many = groups["prefix"].map(tuple).tolist(), groups["own"].to_numpy(np.int64), groups["many"].to_numpy(np.int64)
+        ranks, utils = groups["ranks"].tolist(), groups["utils"].tolist()
+        where: dict[tuple, list[int]] = {}
+        for i, x in enumerate(prefix):
+            where.setdefault(x, []).append(i)
+        out = [x for p, i in where.items() for x in search([int(r) for r in p], own[i], many[i], [ranks[j] for j in i], [utils[j] for j in i], k, theta)]
+        return pd.DataFrame(out, columns=["ranks", "utility", "support"])
 
     while True:
         levels += 1
-        tx = cut(deal(tx))
-        groups = cut(tx.groupBy("prefix").agg(F.sum("own").alias("utility"), F.sum(F.col("own") + after).alias("bound"), F.sum("many").alias("support"), F.sum(F.size("ranks") + 1).alias("n")))
-        theta = max(theta, kth(groups, k, theta))
+        each = heads(tx)
+        groups = cut(measured(each))
+        theta = kth(groups, k, theta)
         live = groups.filter(F.col("bound") >= theta)
         small, large = live.filter(F.col("n") <= cells), live.filter(F.col("n") > cells)
-        dealt = tx.join(small.select("prefix"), "prefix", "left_semi")
-        found.append(cut(dealt.groupBy("prefix").applyInPandas(run, "ranks array<int>, utility long, support long")))
-        found.append(large.select(F.col("prefix").alias("ranks"), "utility", "support"))
+        buckets = max(1, -(-4 * (small.agg(F.sum("n")).first()[0] or 0) // cells), 2 * tx.sparkSession.sparkContext.defaultParallelism)
+        dealt = deal(each, small).withColumn("bucket", F.pmod(F.xxhash64("prefix"), F.lit(buckets)))
+        found.append(cut(dealt.groupBy("bucket").applyInPandas(run, "ranks array<int>, utility long, support long")))
+        found.append(large.select("ranks", "utility", "support"))
         theta = kth(reduce(DataFrame.unionByName, found), k, theta)
         if not large.head(1):
             break
-        tx = tx.join(large.select("prefix"), "prefix", "left_semi")
+        tx = cut(deal(each, large))
     stats |= {"levels": levels, "theta_final": theta}
     return reduce(DataFrame.unionByName, found).filter(F.col("utility") >= theta)
