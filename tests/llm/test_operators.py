@@ -403,6 +403,28 @@ def test_near_vectors_against_brute_force(spark, block):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_passes_follow_the_table():
+    assert vectors.passes_needed({0: 10}) == 1
+    at = [vectors.passes_needed({b: 1}) for b in (7, 13, 20, 30)]
+    assert at == sorted(at) and all((1 - vectors.AGREE**b) ** n <= 0.01 for b, n in zip((7, 13, 20, 30), at))
+    key = np.sort(np.random.default_rng(1).integers(0, 2**62, 5000))
+    for i, b in enumerate(vectors.depths(key, 4000, 64)):  # all that share so many bits are within the window
+        assert ((key >> (62 - b)) == (key[i] >> (62 - b)))[i + 64 :].sum() == 0
+
+
+def test_near_vectors_in_dense_topics(spark):
+    r = np.random.default_rng(3)
+    x = r.standard_normal((8, 64)).repeat(2500, axis=0)
+    x += 0.5 * r.standard_normal(x.shape)
+    y = x[:300] / np.linalg.norm(x[:300], axis=1)[:, None]
+    z = r.standard_normal(y.shape)
+    z -= (z * y).sum(axis=1)[:, None] * y
+    y = 0.953 * y + (1 - 0.953**2) ** 0.5 * z / np.linalg.norm(z, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<float>")
+    got = {q["vec_id"]: q["component_id"] for q in vectors.near_vectors(df).filter(f"vec_id < 300 or vec_id >= {len(x)}").collect()}
+    assert sum(got[i] == got[len(x) + i] for i in range(300)) >= 0.985 * 300
+
+
 # 8 sharding
 
 
