@@ -77,15 +77,18 @@ def _keys(classes: DataFrame, begin: int, end: int) -> DataFrame:
     """(pass, key, cid) for each class and pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = None
+        powers = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+        planes: dict[int, list[np.ndarray]] = {}
         for b in batches:
-            x, _ = matrix(b.column(1))
-            if planes is None or len(planes) != x.shape[1]:
-                planes = _planes(x.shape[1], begin, end)
-            powers = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
-            for p in range(begin, end):
-                key = (x @ planes[p - begin] > 0) @ powers
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), pa.array(key), b.column(0)], names=["pass", "key", "cid"])
+            size = np.diff(np.asarray(b.column(1).offsets))
+            for dim in np.unique(size).tolist():
+                same = b.filter(pa.array(size == dim))
+                x, _ = matrix(same.column(1))
+                if dim not in planes:
+                    planes = {dim: _planes(dim, begin, end)}  # of one length at a time
+                for p in range(begin, end):
+                    key = (x @ planes[dim][p - begin] > 0) @ powers
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), pa.array(key), same.column(0)], names=["pass", "key", "cid"])
 
     return classes.select("cid", "v").mapInArrow(run, "pass int, key long, cid long")
 

@@ -412,6 +412,17 @@ def test_passes_follow_the_table():
         assert ((key >> (62 - b)) == (key[i] >> (62 - b)))[i + 64 :].sum() == 0
 
 
+def test_near_vectors_of_two_lengths(spark):
+    r = np.random.default_rng(4)
+    rows = []
+    for dim in (32, 20):
+        x = r.standard_normal((1200, dim))
+        rows += [(len(rows) + i, v.tolist()) for i, v in enumerate(np.concatenate([x, x + 0.02 * r.standard_normal(x.shape)]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = {q["vec_id"]: q["component_id"] for q in vectors.near_vectors(df).collect()}
+    assert all(got[at + i] == got[at + 1200 + i] for at in (0, 2400) for i in range(1200))
+
+
 def test_near_vectors_in_dense_topics(spark):
     r = np.random.default_rng(3)
     x = r.standard_normal((8, 64)).repeat(2500, axis=0)
