@@ -535,6 +535,27 @@ def test_lag_is_less_than_a_block(counts, weights):
     assert done == counts and used == set(range(sum(counts.values())))
 
 
+@pytest.mark.parametrize("n", [20, 400])
+def test_lag_from_the_target_weights(n):
+    counts = {f"s{i}": 10_000 if i == 0 else 20_000 // n for i in range(n)}
+    weights = mixing.temperature_weights(counts)
+    segments, slots = mixing.plan(counts, weights)
+    first = [(g["begin"] + g["period"] * k + x["slot_in"], x["source"]) for g in segments if g["phase"] == 0 for x in slots if x["phase"] == 0 and x["source"] == g["source"] for k in range((g["last"] - x["nth"]) // g["share"] + 1)]
+    total, got = sum(weights.values()), dict.fromkeys(counts, 0)
+    assert len(first) > 5000
+    for t, (_, s) in enumerate(sorted(first), 1):
+        got[s] += 1
+        assert t % 97 or all(abs(got[x] - t * weights[x] / total) < 1 for x in got)
+
+
+def test_long_plans_are_written_in_pieces(spark, monkeypatch):
+    df = docs(spark, [(i, "t", ["a", "b", None][min(i % 5, 2)]) for i in range(2000)])
+    want = sorted(map(str, mixing.mix(df, block_rows=8).collect()))
+    monkeypatch.setattr(mixing, "PLAN_ROWS", 30)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 10)
+    assert sorted(map(str, mixing.mix(df, block_rows=8).collect())) == want
+
+
 def test_mixed_rows(spark, messy, empty):
     rows = [(i, "t", ["a", "b", None][min(i % 5, 2)]) for i in range(2000)]
     out = mixing.mix(docs(spark, rows), block_rows=8, period=20)
