@@ -33,16 +33,21 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their rows and files in the order of the interleaved blocks."""
+def with_places(docs: DataFrame) -> DataFrame:
+    """Adds _quarry_place, the place of each document in the interleaved blocks."""
     plan = mixing.mix(docs.select("doc_id", "source"))
     place = plan.groupBy(F.col("doc_id").alias("_quarry_id")).agg(F.min(F.struct("slot", "row_in_block")).alias("_quarry_place"))
-    return docs.join(place, F.col("doc_id").eqNullSafe(F.col("_quarry_id"))).repartitionByRange("_quarry_place").sortWithinPartitions("_quarry_place").select(*docs.columns)
+    return docs.join(place, F.col("doc_id").eqNullSafe(F.col("_quarry_id"))).withColumn("_quarry_place", F.col("_quarry_place.slot") * (1 << 16) + F.col("_quarry_place.row_in_block"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their rows and files in the order of the interleaved blocks."""
+    return with_places(docs).repartitionByRange("_quarry_place").sortWithinPartitions("_quarry_place").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in a sequence."""
-    return packing.pack(docs)
+    """The place of every piece of every document in a sequence; sequences are in the order of the mix, which is made again."""
+    return packing.pack(with_places(docs), place="_quarry_place")
 
 
 STAGES = [

@@ -92,29 +92,39 @@ class Plan:
         return bin_id, self.bin_size[np.searchsorted(self.bin_from, bin_id, side="right") - 1], offset + k % each * length
 
 
-def pieces(docs: DataFrame, largest: int) -> DataFrame:
+def pieces(docs: DataFrame, largest: int, *others: str) -> DataFrame:
     """Words of the text and an end token; documents over the largest size are cut into full pieces and a rest."""
     n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long") + 1
-    cut = docs.select("doc_id", n.alias("_n")).select("doc_id", "_n", F.explode(F.expr(f"sequence(0L, (_n - 1) div {largest})")).alias("piece"))
-    return cut.select("doc_id", F.col("piece").cast("int"), F.least(F.lit(largest), F.col("_n") - F.col("piece") * largest).alias("n_tokens"))
+    cut = docs.select("doc_id", *others, n.alias("_n")).select("doc_id", *others, "_n", F.explode(F.expr(f"sequence(0L, (_n - 1) div {largest})")).alias("piece"))
+    return cut.select("doc_id", F.col("piece").cast("int"), F.least(F.lit(largest), F.col("_n") - F.col("piece") * largest).alias("n_tokens"), *others)
 
 
-def pack(docs: DataFrame, sizes: tuple[int, ...] = SIZES, cost=default_cost) -> DataFrame:
+def pack(docs: DataFrame, sizes: tuple[int, ...] = SIZES, cost=default_cost, place: str | None = None) -> DataFrame:
     """doc_id, piece, n_tokens, bin_id, bin_size, bin_offset for every piece of every document.
 
     Null or empty texts are one end token. Null ids and repeated rows are packed as often as they come; ties go
     by input place. An empty table gives no rows. Other columns are not read.
+    `place` names a column to keep the order of: pieces of one length are packed in it, and bins are numbered in the
+    order of their first pieces.
     """
-    rows = global_index(pieces(docs, max(sizes)), [-F.col("n_tokens"), F.col("doc_id"), F.col("piece")], "_idx")
+    order = [place] if place else []
+    rows = global_index(pieces(docs, max(sizes), *order), [-F.col("n_tokens"), *map(F.col, order), F.col("doc_id"), F.col("piece")], "_idx")
     plan = Plan({r["n_tokens"]: r["n"] for r in rows.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}, sizes, cost)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = plan.place(b.column(3).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(x) for x in found)], names=["doc_id", "piece", "n_tokens", "bin_id", "bin_size", "bin_offset"])
+            names = ["doc_id", "piece", "n_tokens", "bin_id", "bin_size", "bin_offset", *b.schema.names[4:]]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(x) for x in found), *b.columns[4:]], names=names)
 
     out = "doc_id long, piece int, n_tokens long, bin_id long, bin_size long, bin_offset long"
-    return rows.select(F.col("doc_id").cast("long"), "piece", "n_tokens", "_idx").mapInArrow(place, out)
+    columns = [F.col("doc_id").cast("long"), "piece", "n_tokens", "_idx"]
+    if not place:
+        return rows.select(*columns).mapInArrow(put, out)
+    kind = rows.schema[place].dataType.simpleString()
+    packed = rows.select(*columns, F.col(place).alias("_place")).mapInArrow(put, f"{out}, _place {kind}")
+    first = global_index(packed.filter("bin_offset = 0").select("bin_id", "_place"), [F.col("_place"), F.col("bin_id")], "_new").drop("_place")
+    return packed.join(first, "bin_id").select("doc_id", "piece", "n_tokens", F.col("_new").alias("bin_id"), "bin_size", "bin_offset")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,25 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert sorted(map(str, cp.run(spark, d).collect())) == sorted(map(str, seen["packing"]))
 
 
+def test_packing_follows_the_mix(spark, monkeypatch):
+    rows = [(i, "w " * (i % 40), "en", "ab"[i % 3 == 0], 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    runs = []
+    for power in (0.7, 9.0):
+        monkeypatch.setattr(cp.mixing, "temperature_weights", lambda counts, power=power: {s: n**power for s, n in counts.items()})
+        place = {r["doc_id"]: r["_quarry_place"] for r in cp.with_places(docs).collect()}
+        out = sorted(cp.pack_sequences(spark, cp.mix_sources(spark, docs, ""), "").collect(), key=lambda r: (r["bin_id"], r["bin_offset"]))
+        first = [place[r["doc_id"]] for r in out if r["bin_offset"] == 0]
+        assert first == sorted(first) and sorted({r["bin_id"] for r in out}) == list(range(len(first)))
+        assert sorted(r["doc_id"] for r in out) == list(range(3000))
+        ends = {}
+        for r in out:
+            assert r["bin_offset"] == ends.get(r["bin_id"], 0) and r["bin_offset"] + r["n_tokens"] <= r["bin_size"]
+            ends[r["bin_id"]] = r["bin_offset"] + r["n_tokens"]
+        runs.append(sorted(map(str, out)))
+    assert runs[0] != runs[1]
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     d = f"file://{tmp_path}/sf"
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
