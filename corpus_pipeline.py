@@ -10,6 +10,8 @@ from quarry.llm.common import kept, read
 
 #: No SQL says the learned toxicity score or the best-fit plan; tests hold the pipeline against brute force.
 ORACLE_SQL = None
+#: Documents that share this percentage of their five-word shingles are near-duplicates here; op6 has its own.
+NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays; of rows with one id, one stays."""
-    found = minhash.near_duplicates(docs)
+    found = minhash.near_duplicates(docs, percent=NEAR_PERCENT)
     found = kept(found.select("doc_id", "kept"), "near")
     gone = kept(found.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").head(1):

@@ -16,6 +16,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -76,10 +77,10 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (twice & real & (distinct <= k)).sum(axis=1), np.minimum(distinct[:, -1], k)
 
 
-def similar(value: int, i: np.ndarray, j: np.ndarray, n: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def similar(value: int, i: np.ndarray, j: np.ndarray, n: np.ndarray, sk: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the pairs (i, j) of a list, those that belong to it and may reach the threshold, with estimates."""
     low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-    ok = low * 100 >= PERCENT * high
+    ok = low * 100 >= percent * high
     i, j = i[ok], j[ok]
     first = np.full(len(i), _NONE)
     for p in range(LISTED):  # the smallest shared listed value
@@ -89,9 +90,9 @@ def similar(value: int, i: np.ndarray, j: np.ndarray, n: np.ndarray, sk: np.ndar
     i, j = i[ok], j[ok]
     shared, seen = estimate(sk[i], sk[j])
     est = shared / np.maximum(seen, 1)
-    t = PERCENT / 100
+    t = percent / 100
     exact = (n[i] <= SKETCH) & (n[j] <= SKETCH)
-    ok = np.where(exact, shared * 100 >= PERCENT * seen, est >= t - SIGMAS * np.sqrt(t * (1 - t) / np.maximum(seen, 1)))
+    ok = np.where(exact, shared * 100 >= percent * seen, est >= t - SIGMAS * np.sqrt(t * (1 - t) / np.maximum(seen, 1)))
     return i[ok], j[ok], est[ok]
 
 
@@ -151,14 +152,14 @@ def _pairs(side: np.ndarray, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarr
             a += step
 
 
-def _by_sketch(v, bi, bj, side, cid, n, sketch) -> Iterator[tuple[list[int], list[int | None]]]:
+def _by_sketch(v, bi, bj, side, cid, n, sketch, percent) -> Iterator[tuple[list[int], list[int | None]]]:
     """The pairs of a list that may be links, or one row without b if they are many for its size."""
     sk = np.full((len(sketch), SKETCH), _NONE)
     for r, x in enumerate(sketch):
         sk[r, : len(x)] = x
     i, j, total = [], [], 0
     for x in _pairs(side, bi != bj):
-        a, b, _ = similar(v, *x, n, sk)
+        a, b, _ = similar(v, *x, n, sk, percent)
         i.append(a)
         j.append(b)
         total += len(a)
@@ -169,10 +170,10 @@ def _by_sketch(v, bi, bj, side, cid, n, sketch) -> Iterator[tuple[list[int], lis
         yield cid[np.concatenate(i)].tolist(), cid[np.concatenate(j)].tolist()
 
 
-def _exactly(v, bi, bj, side, cid, n, sets) -> Iterator[tuple[list[int], list[int | None]]]:
+def _exactly(v, bi, bj, side, cid, n, sets, percent) -> Iterator[tuple[list[int], list[int | None]]]:
     """A spanning forest of the links of a list."""
     both = shared_counts(sets).astype(np.int64)
-    a, b = spanning(both * 100 >= PERCENT * (n[:, None] + n[None, :] - both))
+    a, b = spanning(both * 100 >= percent * (n[:, None] + n[None, :] - both))
     yield cid[a].tolist(), cid[b].tolist()
 
 
@@ -247,10 +248,10 @@ def _compared(rows: DataFrame, group) -> DataFrame:
     return rows.mapInArrow(_each_list(group), "a long, b long, v long, bi long, bj long")
 
 
-def _links(docs: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, block: int, percent: int) -> DataFrame:
     """(a, b): pairs of classes whose full sets reach the threshold, enough of them for all components."""
     members = _members(classes, block).checkpoint()
-    found = _compared(members.join(classes.select("cid", "n", F.col("sketch").alias("values")), "cid"), _by_sketch).checkpoint()
+    found = _compared(members.join(classes.select("cid", "n", F.col("sketch").alias("values")), "cid"), functools.partial(_by_sketch, percent=percent)).checkpoint()
     pairs = found.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
     families = members.join(found.filter("b is null").select("v", "bi", "bj").distinct(), ["v", "bi", "bj"], "left_semi").checkpoint()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(families.select("cid")).distinct().checkpoint()
@@ -260,13 +261,13 @@ def _links(docs: DataFrame, classes: DataFrame, block: int) -> DataFrame:
     a = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.join(a, "a").join(b, "b").filter(both * 100 >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-    in_families = _compared(families.join(sets.withColumnRenamed("shingles", "values"), "cid"), _exactly).select("a", "b")
+    links = pairs.join(a, "a").join(b, "b").filter(both * 100 >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    in_families = _compared(families.join(sets.withColumnRenamed("shingles", "values"), "cid"), functools.partial(_exactly, percent=percent)).select("a", "b")
     return links.unionByName(in_families).distinct().checkpoint()
 
 
-def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row.
+def near_duplicates(docs: DataFrame, block: int = BLOCK, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row; documents are linked at `percent` of similarity.
 
     A null or empty text has no shingles and is linked with nothing. A row without an id is linked with nothing,
     has no component and is kept. Rows with one id are one document, linked by any of their texts. An empty table
@@ -276,7 +277,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = kept(sketches(docs), "sketches")
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("sig", "n", "sketch").agg(F.min("doc_id").alias("cid"))
     classes = classes.checkpoint()
-    labels = components(_links(docs, classes, block))
+    labels = components(_links(docs, classes, block, percent))
     of = classes.select("sig", "cid").join(labels, F.col("cid") == F.col("node"), "left").select("sig", F.coalesce("component", "cid").alias("c"))
     out = rows.select("doc_id", "n", "sig").join(of, "sig", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("c")), F.col("doc_id")))

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline as cp
-from quarry.llm import toxicity
+from quarry.llm import minhash, toxicity
 from quarry.llm.common import kept
 from tests.llm.test_operators import brute_components
 
@@ -57,6 +57,14 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert sorted(map(str, cp.run(spark, d).collect())) == sorted(map(str, seen["packing"]))
 
 
+def test_near_copies_at_80_percent(spark):
+    words = [f"w{i}" for i in range(110)]
+    texts = [words[:100], words[:90] + words[100:], words[:80] + [f"x{i}" for i in range(20)]]  # 86 of 106, 76 of 116 shingles
+    docs = spark.createDataFrame([(i, " ".join(x), "en", "a", 0) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in cp.drop_near_copies(spark, docs, "").collect()) == [0, 2]
+    assert minhash.near_duplicates(docs).filter("kept").count() == 3
+
+
 def test_packing_follows_the_mix(spark, monkeypatch):
     rows = [(i, "w " * (i % 40), "en", "ab"[i % 3 == 0], 0) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
