@@ -6,7 +6,7 @@
    share one of them but for a chance of about 0.15 ** LISTED at the threshold. Lists of one class are dropped
    before sketches are sent. A list of over BLOCK classes is dealt as pairs of blocks, so no task holds it all.
 3. In each list, a pair is looked at where its smallest shared listed value is. Set sizes and the overlap in the
-   union's sketch (its estimate lies SIGMAS standard errors or less under the threshold) filter it.
+   union's sketch (a pair at the threshold shares so few values with a chance over MISSED) filter it.
 4. The pairs left are verified on full sets, which are made again from the texts of their classes alone. A list,
    or pair of blocks, that has many more such pairs than classes is a family: it returns no pairs, but is dealt
    again with full sets, all its pairs are counted exactly by a product of incidence matrices, and a spanning
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from quarry.llm.common import kept, read, shared_dir
 from quarry.llm.graph import components
 from quarry.llm.words import shingle_sets
 
-SKETCH, LISTED, BLOCK, SIGMAS, MANY = 32, 8, 1024, 4.5, 8
+SKETCH, LISTED, BLOCK, MISSED, MANY = 32, 8, 1024, 1e-7, 8
 #: A block also holds about this many shingles at most, so that its full sets fit in memory.
 BLOCK_SHINGLES = 1 << 19
 PERCENT = 85
@@ -77,6 +78,19 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (twice & real & (distinct <= k)).sum(axis=1), np.minimum(distinct[:, -1], k)
 
 
+@functools.cache
+def least_shared(percent: int) -> np.ndarray:
+    """For 0 to SKETCH values seen, the least shared ones that pass: fewer have a binomial chance of MISSED or less."""
+    t, out = percent / 100, []
+    for seen in range(SKETCH + 1):
+        chance, k = (1 - t) ** seen, 0
+        while k < seen and chance <= MISSED:
+            k += 1
+            chance += math.comb(seen, k) * t**k * (1 - t) ** (seen - k)
+        out.append(k)
+    return np.array(out)
+
+
 def similar(value: int, i: np.ndarray, j: np.ndarray, n: np.ndarray, sk: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the pairs (i, j) of a list, those that belong to it and may reach the threshold, with estimates."""
     low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
@@ -90,9 +104,8 @@ def similar(value: int, i: np.ndarray, j: np.ndarray, n: np.ndarray, sk: np.ndar
     i, j = i[ok], j[ok]
     shared, seen = estimate(sk[i], sk[j])
     est = shared / np.maximum(seen, 1)
-    t = percent / 100
     exact = (n[i] <= SKETCH) & (n[j] <= SKETCH)
-    ok = np.where(exact, shared * 100 >= percent * seen, est >= t - SIGMAS * np.sqrt(t * (1 - t) / np.maximum(seen, 1)))
+    ok = np.where(exact, shared * 100 >= percent * seen, shared >= least_shared(percent)[seen])
     return i[ok], j[ok], est[ok]
 
 

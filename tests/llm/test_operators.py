@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -368,6 +369,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_the_estimate_keeps_rare_true_pairs():
+    low = minhash.least_shared(85)[32]
+    chance = [math.comb(32, k) * 0.85**k * 0.15 ** (32 - k) for k in range(33)]
+    assert sum(chance[:low]) <= 1e-7 < sum(chance[: low + 1])
+    for shared, kept in ((18, 1), (low, 1), (low - 1, 0)):
+        both, rest = np.arange(shared), 100 + np.arange(64 - 2 * shared)
+        sk = np.array([[*both, *rest[::2]], [*both, *rest[1::2]]], np.uint64)
+        i, j, _ = minhash.similar(np.uint64(0), np.array([0]), np.array([1]), np.array([200, 200]), sk)
+        assert len(i) == kept
+
+
 # 7 vectors
 
 
