@@ -2,11 +2,13 @@
 
 1. A document's set is the hashes of its distinct 5-word shingles; its sketch is the SKETCH smallest of them.
    Documents with equal sets are one class, whatever their number; only classes go on.
-2. Inverted lists: each of a class's LISTED smallest values names the classes that retain it. Similar classes
-   share one of them but for a chance of about 0.15 ** LISTED at the threshold. Lists of one class are dropped
-   before sketches are sent. A list of over BLOCK classes is dealt as pairs of blocks, so no task holds it all.
+2. Inverted lists: each of a class's smallest values, as many as `listed` says, names the classes that retain it.
+   Classes at the threshold share none of them with a chance of MISSED or less, and surely share one where a set is
+   so small that these values are its prefix for the threshold. Lists of one class are dropped before sketches are
+   sent. A list of over BLOCK classes is dealt as pairs of blocks, so no task holds it all.
 3. In each list, a pair is looked at where its smallest shared listed value is. Set sizes and the overlap in the
-   union's sketch (a pair at the threshold shares so few values with a chance over MISSED) filter it.
+   union's sketch (a pair at the threshold shares fewer values with a chance of MISSED or less) filter it; two sets
+   that their sketches hold whole are compared exactly.
 4. The pairs left are verified on full sets, which are made again from the texts of their classes alone. A list,
    or pair of blocks, that has many more such pairs than classes is a family: it returns no pairs, but is dealt
    again with full sets, all its pairs are counted exactly by a product of incidence matrices, and a spanning
@@ -30,7 +32,7 @@ from quarry.llm.common import kept, read, shared_dir
 from quarry.llm.graph import components
 from quarry.llm.words import shingle_sets
 
-SKETCH, LISTED, BLOCK, MISSED, MANY = 32, 8, 1024, 1e-7, 8
+SKETCH, BLOCK, MISSED, MANY = 32, 1024, 1e-9, 8
 #: A block also holds about this many shingles at most, so that its full sets fit in memory.
 BLOCK_SHINGLES = 1 << 19
 PERCENT = 85
@@ -78,6 +80,19 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (twice & real & (distinct <= k)).sum(axis=1), np.minimum(distinct[:, -1], k)
 
 
+@functools.cache
+def listed(percent: int) -> int:
+    """How many of its smallest values list a class: (1 - threshold) ** listed is MISSED or less."""
+    return min(SKETCH, math.ceil(math.log(MISSED) / math.log(max(MISSED, 1 - percent / 100))))
+
+
+def common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(how many values both hold, the smallest of them or _NONE) of each pair of rows."""
+    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    twice = np.where(both[:, 1:] == both[:, :-1], both[:, 1:], _NONE)
+    return (twice != _NONE).sum(axis=1), twice.min(axis=1)
+
+
 @functools.cache
 def least_shared(percent: int) -> np.ndarray:
     """For 0 to SKETCH values seen, the least shared ones that pass: fewer have a binomial chance of MISSED or less."""
@@ -96,16 +111,15 @@ def similar(value: int, i: np.ndarray, j: np.ndarray, n: np.ndarray, sk: np.ndar
     low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
     ok = low * 100 >= percent * high
     i, j = i[ok], j[ok]
-    first = np.full(len(i), _NONE)
-    for p in range(LISTED):  # the smallest shared listed value
-        held = (sk[i, p][:, None] == sk[j, :LISTED]).any(axis=1) & (sk[i, p] != _NONE)
-        first = np.where(held & (first == _NONE), sk[i, p], first)
-    ok = first == value
+    many = listed(percent)
+    ok = common(sk[i, :many], sk[j, :many])[1] == value
     i, j = i[ok], j[ok]
     shared, seen = estimate(sk[i], sk[j])
+    ok = shared >= least_shared(percent)[seen]
+    small = np.flatnonzero((n[i] <= SKETCH) & (n[j] <= SKETCH))  # these sketches are the sets
+    both = common(sk[i[small]], sk[j[small]])[0]
+    ok[small] = both * 100 >= percent * (n[i[small]] + n[j[small]] - both)
     est = shared / np.maximum(seen, 1)
-    exact = (n[i] <= SKETCH) & (n[j] <= SKETCH)
-    ok = np.where(exact, shared * 100 >= percent * seen, shared >= least_shared(percent)[seen])
     return i[ok], j[ok], est[ok]
 
 
@@ -244,9 +258,9 @@ def _each_list(group):
     return run
 
 
-def _members(classes: DataFrame, block: int) -> DataFrame:
+def _members(classes: DataFrame, block: int, percent: int) -> DataFrame:
     """(v, bi, bj, side, cid): who is compared in which list, or pair of a list's blocks."""
-    lists = classes.select("cid", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
+    lists = classes.select("cid", "n", F.explode(F.slice("sketch", 1, listed(percent))).alias("v"))
     blocks = F.ceil(F.greatest(F.col("m") / block, F.col("size") / BLOCK_SHINGLES))
     many = lists.groupBy("v").agg(F.count("*").alias("m"), F.sum("n").alias("size")).filter("m > 1").select("v", F.least("m", blocks).alias("nb"))
     lists = lists.join(many, "v")
@@ -263,7 +277,7 @@ def _compared(rows: DataFrame, group) -> DataFrame:
 
 def _links(docs: DataFrame, classes: DataFrame, block: int, percent: int) -> DataFrame:
     """(a, b): pairs of classes whose full sets reach the threshold, enough of them for all components."""
-    members = _members(classes, block).checkpoint()
+    members = _members(classes, block, percent).checkpoint()
     found = _compared(members.join(classes.select("cid", "n", F.col("sketch").alias("values")), "cid"), functools.partial(_by_sketch, percent=percent)).checkpoint()
     pairs = found.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
     families = members.join(found.filter("b is null").select("v", "bi", "bj").distinct(), ["v", "bi", "bj"], "left_semi").checkpoint()

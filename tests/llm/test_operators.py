@@ -372,7 +372,7 @@ def test_components(spark):
 def test_the_estimate_keeps_rare_true_pairs():
     low = minhash.least_shared(85)[32]
     chance = [math.comb(32, k) * 0.85**k * 0.15 ** (32 - k) for k in range(33)]
-    assert sum(chance[:low]) <= 1e-7 < sum(chance[: low + 1])
+    assert sum(chance[:low]) <= minhash.MISSED < sum(chance[: low + 1]) and 0.15 ** minhash.listed(85) <= minhash.MISSED
     for shared, kept in ((18, 1), (low, 1), (low - 1, 0)):
         both, rest = np.arange(shared), 100 + np.arange(64 - 2 * shared)
         sk = np.array([[*both, *rest[::2]], [*both, *rest[1::2]]], np.uint64)
@@ -380,6 +380,40 @@ def test_the_estimate_keeps_rare_true_pairs():
         assert len(i) == kept
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_every_small_pair_is_judged_by_its_sets(percent):
+    r = np.random.default_rng(6)
+    for a in range(1, 41):
+        for b in range(a, 41):
+            least = -(-percent * (a + b) // (100 + percent))  # the least intersection that reaches the threshold
+            for shared in {least, least - 1, a}:
+                if not 0 < shared <= a:
+                    continue
+                for _ in range(3):
+                    v = np.sort(r.choice(1 << 40, a + b - shared, replace=False).astype(np.uint64))
+                    order = r.permutation(len(v))
+                    x, y = np.sort(v[order[:a]]), np.sort(np.concatenate([v[order[:shared]], v[order[a:]]]))
+                    sk = np.full((2, 32), minhash._NONE)
+                    sk[0, : min(a, 32)], sk[1, : min(b, 32)] = x[:32], y[:32]
+                    first = np.intersect1d(x, y).min()
+                    listed = minhash.listed(percent)
+                    n = np.array([a, b])
+                    got = len(minhash.similar(first, np.array([0]), np.array([1]), n, sk, percent)[0])
+                    linked = 100 * shared >= percent * (a + b - shared)
+                    assert linked <= got and (linked or not got or b > 32), (a, b, shared)
+                    assert not linked or first in x[:listed] and first in y[:listed]
+
+
+def test_small_near_copies_are_linked(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(60):
+        words = [f"{i}_{k}" for k in range(44)]
+        rows += [(2 * i, " ".join(words[:36])), (2 * i + 1, " ".join([*words[:33], *[f"x{r.random()}" for _ in range(2)]]))]  # 32 and 31 shingles, 29 shared
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert all(got[2 * i + 1] == 2 * i for i in range(60))
+
+
 # 7 vectors
 
 
