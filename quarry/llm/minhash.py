@@ -123,25 +123,55 @@ def similar(value: int, i: np.ndarray, j: np.ndarray, n: np.ndarray, sk: np.ndar
     return i[ok], j[ok], est[ok]
 
 
-def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """The size of the intersection of each two sets, from incidence matrices a bounded number of columns wide."""
-    m = len(sets)
-    row = np.repeat(np.arange(m), [len(x) for x in sets])
-    values, column, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    both = many > 1  # what one set alone holds is in no intersection
-    column = (np.cumsum(both) - 1)[column[both[column]]] if both.any() else np.zeros(0, np.int64)
-    row = row[both[np.searchsorted(values, np.concatenate(sets))]]
-    out = np.zeros((m, m), np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for at in range(0, int(both.sum()), columns):
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None = None, columns: int = 2048) -> np.ndarray:
+    """The size of the intersection of each set of left with each of right (or of left), from incidence matrices a
+    bounded number of columns wide."""
+    sets = [*left, *(right or [])]
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    column = np.cumsum(np.append(False, flat[1:] != flat[:-1]), dtype=np.int32) if len(flat) else np.zeros(0, np.int32)
+    del flat, order
+    many = np.bincount(column) > 1  # what one set alone holds is in no intersection
+    row, column = row[many[column]], column[many[column]]
+    column = (np.cumsum(many, dtype=np.int32) - 1)[column]
+    out = np.zeros((len(left), len(right or left)), np.float32)
+    for at in range(0, int(many.sum()), columns):
         a, z = np.searchsorted(column, [at, at + columns])
-        x = np.zeros((m, columns), np.float32)
+        x = np.zeros((len(sets), columns), np.float32)
         x[row[a:z], column[a:z] - at] = 1
-        out += x @ x.T
+        out += x[: len(left)] @ (x[len(left) :] if right else x).T
     return out
 
 
+def reach(both: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs with these intersections reach the threshold, a strip of rows at a time."""
+    out = np.zeros(both.shape, bool)
+    for a in range(0, len(both), 128):
+        x = both[a : a + 128].astype(np.int64)
+        out[a : a + 128] = x * 100 >= percent * (n_left[a : a + 128, None] + n_right[None, :] - x)
+    return out
+
+
+def spanning_between(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (row, column) of a spanning forest of the links between rows and columns."""
+    new = [np.ones(linked.shape[0], bool), np.ones(linked.shape[1], bool)]
+    edges: tuple[list[int], list[int]] = ([], [])
+    while new[0].any():
+        x = int(np.argmax(new[0]))
+        new[0][x] = False
+        todo = [(0, x)]
+        while todo:
+            side, x = todo.pop()
+            found = np.flatnonzero((linked[:, x] if side else linked[x]) & new[1 - side]).tolist()
+            new[1 - side][found] = False
+            todo += [(1 - side, y) for y in found]
+            edges[side].extend([x] * len(found))
+            edges[1 - side].extend(found)
+    return np.array(edges[0], np.int64), np.array(edges[1], np.int64)
+
+
 def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of an adjacency matrix."""
     new = np.ones(len(linked), bool)
@@ -198,9 +228,16 @@ def _by_sketch(v, bi, bj, side, cid, n, sketch, percent) -> Iterator[tuple[list[
 
 
 def _exactly(v, bi, bj, side, cid, n, sets, percent) -> Iterator[tuple[list[int], list[int | None]]]:
-    """A spanning forest of the links of a list."""
-    both = shared_counts(sets).astype(np.int64)
-    a, b = spanning(both * 100 >= percent * (n[:, None] + n[None, :] - both))
+    """A spanning forest of the links of a list, or of those between two blocks of it."""
+    if bi == bj:
+        a, b = spanning(reach(shared_counts(list(sets)), n, n, percent))
+    else:
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(left) or not len(right):
+            return
+        both = shared_counts(list(sets[left]), list(sets[right]))
+        a, b = spanning_between(reach(both, n[left], n[right], percent))
+        a, b = left[a], right[b]
     yield cid[a].tolist(), cid[b].tolist()
 
 

@@ -404,6 +404,27 @@ def test_every_small_pair_is_judged_by_its_sets(percent):
                     assert not linked or first in x[:listed] and first in y[:listed]
 
 
+def test_blocks_are_counted_against_each_other():
+    r = np.random.default_rng(1)
+    sets = np.empty(9, object)
+    for i in range(9):
+        sets[i] = np.unique(r.integers(0, 60, 30 + i).astype(np.uint64))
+    got = minhash.shared_counts(list(sets[:4]), list(sets[4:]), columns=7)
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[4:]] for a in sets[:4]]
+    linked = r.random((7, 5)) < 0.25
+    a, b = minhash.spanning_between(linked)
+    assert all(linked[x, y] for x, y in zip(a, b))
+    root = list(range(12))
+
+    def group(pairs):
+        of = list(root)
+        for x, y in pairs:
+            of = [min(of[x], of[7 + y]) if o in (of[x], of[7 + y]) else o for o in of]
+        return of
+
+    assert group(zip(a, b)) == group(zip(*np.nonzero(linked))) and len(a) == 12 - len(set(group(zip(a, b))))
+
+
 def test_small_near_copies_are_linked(spark):
     r = random.Random(8)
     rows = []
