@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 import zipfile
@@ -39,12 +40,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is set only where it is unset."""
+    """The folder named by spark.checkpoint.dir; a local one is set only where it is unset and all runs in one process."""
     ship(spark)
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
         at = at and at.rsplit("/", 1)[0]
+    if not at and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not at:
         at = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
     if not spark.sparkContext.getCheckpointDir():
@@ -56,6 +59,21 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/quarry/{what}-{uuid.uuid4().hex}"
 
 
+#: Tables that `kept` wrote and nobody has dropped, in order.
+_MADE: list[str] = []
+
+
+def drop_made(spark: SparkSession, since: int) -> None:
+    """Drops what `kept` wrote after the first `since` tables, but for the last one. Their DataFrames end with them."""
+    for path in _MADE[since:-1]:
+        drop_path(spark, path)
+    _MADE[since:-1] = []
+
+
+def made() -> int:
+    return len(_MADE)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -66,6 +84,7 @@ def kept(df: DataFrame, what: str = "step") -> DataFrame:
     """df written to the shared folder and read back: its lineage ends there."""
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

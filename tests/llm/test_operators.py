@@ -194,6 +194,28 @@ def test_missing_segments_are_reported(spark, tmp_path):
     assert [r["error"] for r in warc.read_archive(spark, str(tmp_path)).collect()] == ["segments are missing or repeated"]
 
 
+def test_damaged_and_foreign_archives(spark, tmp_path):
+    own = [b"".join(r + b"\r\n\r\n" for r in warc.records(i, 0, "u", b"x" * n, None, "d")) for i, n in ((1, 10), (2, 30_000), (3, 20))]
+    foreign = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1-2>\r\nContent-Length: 23\r\n\r\nHTTP/1.0 200 OK\r\n\r\nabcd\r\n\r\n"
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:3>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    bare = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: z\r\n\r\n\r\n\r\n"
+    lost = b"".join(r + b"\r\n\r\n" for r in warc.records(9, 0, "u", b"gone", 5, "d", alone=True))
+    (tmp_path / "part-0").write_bytes(own[0][:-9] + b"\r\n\r\n" + own[1] + info + foreign + bare + lost + own[2])
+    (tmp_path / "part-1").write_bytes(b"\xff\x00 no archive")
+    (tmp_path / "part-2").write_bytes(b"")
+    rows = {(r["page_id"], r["record_type"], r["payload_bytes"], (r["error"] or "")[:8]) for r in warc.read_archive(spark, str(tmp_path)).collect()}
+    assert rows == {(None, None, None, "the reco"), (None, None, None, "no recor"), (2, "response", 30_000, ""), (None, "response", 4, ""), (9, "revisit", None, "the resp"), (3, "response", 20, "")}
+
+
+def test_revisits_name_a_record(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "a", "same"), (2, "b", "same"), (3, "c", "x"), (3, "c", "x"), (2, "d", "x")], "page_id long, url string, html string")
+    warc.write_archive(pages, f"file://{tmp_path}/w")
+    found = [h for f in (tmp_path / "w").glob("part-*") for h, _ in warc.parse(f.read_bytes())]
+    ids = [h["warc-record-id"] for h in found]
+    assert len(set(ids)) == 5 and {h["warc-refers-to"] for h in found if "warc-refers-to" in h} <= set(ids)
+    assert sorted(h["x-refers-to-page"] for h in found if h["warc-type"] == "revisit") == ["2", "3"] and sum("warc-refers-to" in h for h in found) == 1
+
+
 # 4 toxicity
 
 
