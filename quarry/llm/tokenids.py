@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm.common import drop_path, new_path, read, small_table
@@ -176,9 +177,9 @@ _SPACE, _LETTER, _MARK, _OTHER = range(4)
 _CLASS = np.full(256, _OTHER, np.uint8)
 _CLASS[97:123], _CLASS[[ord(c) for c in MARKS]], _CLASS[SPACES] = _LETTER, _MARK, _SPACE
 #: Bytes of text that are encoded at once, but for a longer text; words in letters that the tokenizer gets at once.
-SLICE, AT_ONCE = 1 << 23, 10_000
+SLICE, AT_ONCE = 1 << 22, 10_000
 #: Parts in letters that a worker knows at most; a bound on memory only.
-KNOWN = 1_500_000
+KNOWN = 1_000_000
 
 
 def _lowered(data: np.ndarray) -> np.ndarray:
@@ -221,7 +222,7 @@ class Known:
         self.flat = np.concatenate([self.flat, ids])
 
 
-_KNOWN: dict[str, Known] = {}
+_ENCODERS: dict[tuple[str, int], "Encoder"] = {}
 
 
 class Encoder:
@@ -242,7 +243,7 @@ class Encoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.end, self.plain = end_id, None
-        self.known = _KNOWN.setdefault(tokenizer_path, Known(KNOWN))
+        self.known = Known(KNOWN)
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         if suffix and "Lowercase" in str(self.tokenizer.normalizer):
@@ -336,18 +337,30 @@ class Encoder:
         return np.insert(flat[place], after[first[1:]], self.end), np.diff(after[first]) + 1
 
 
+def encoder_of(tokenizer_path: str, end_id: int) -> Encoder:
+    """The worker's encoder: read once, it knows the parts that it met in earlier tasks."""
+    key = tokenizer_path, end_id
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(tokenizer_path, end_id)
+    return _ENCODERS[key]
+
+
 def encoder(tokenizer_path: str, end_id: int):
     """text -> its ids and the end id as little-endian u32."""
-    e = Encoder(tokenizer_path, end_id)
+    e = encoder_of(tokenizer_path, end_id)
     return lambda text: e.encode(pa.array([text]))[0].astype("<u4").tobytes()
 
 
 def write_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, frames_per_file: int = 32) -> None:
-    """Writes the files under path; their names ascend with doc_id (null ids first)."""
+    """Writes the files under path; their partitions and numbers ascend with doc_id (null ids first).
+
+    Rows that share an id, or have none, go by their input place, so they are dealt over many files too.
+    """
     schema = "frame binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path, end_id)
+        encoder = encoder_of(tokenizer_path, end_id)
         for b in batches:
             at = 0
             while at < len(b):  # as many rows as make about a slice, in frames
@@ -361,8 +374,8 @@ def write_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1
                     made = frame(names[a:z], counts[a:z].tolist(), ids[ends[a] - counts[a] : ends[z - 1]])
                     yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["frame"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("at"))
+    rows = rows.repartitionByRange("doc_id", "at").sortWithinPartitions("doc_id", "at").select("doc_id", "text")
     rows.mapInArrow(run, schema).select(F.col("frame").cast("string")).write.option("maxRecordsPerFile", frames_per_file).text(path)
 
 
@@ -388,15 +401,23 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(run, schema)
 
 
-def with_starts(found: DataFrame, path: str) -> DataFrame:
-    """Adds each file's first place: one sum a file, in the order of their names."""
-    sums = {r["path"]: r["n"] for r in found.groupBy("path").agg(F.sum("n_tokens").alias("n")).collect()}
-    at, starts = 0, []
-    for p in sorted(sums):
-        starts.append((p, at))
-        at += sums[p]
-    table = small_table(found.sparkSession, [{"path": p, "first": a} for p, a in starts], "path string, first long")
-    return found.join(F.broadcast(table) if len(starts) < 100_000 else table, "path").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+def with_starts(found: DataFrame) -> DataFrame:
+    """Adds each document's first place, in the order of the files' partitions and numbers (as numbers, not as text).
+
+    Files add up inside their partition; the driver gets one sum a partition of the writer, not one a file.
+    """
+    spark = found.sparkSession
+    at = [F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("long").alias("p"), F.coalesce(F.regexp_extract("path", r"-c(\d+)[^/]*$", 1).try_cast("long"), F.lit(0)).alias("c")]
+    found = found.select(*at, "doc_id", "before", "n_tokens", "ids_crc32")
+    files = found.groupBy("p", "c").agg(F.sum("n_tokens").alias("n"))
+    in_part = F.sum("n").over(W.partitionBy("p").orderBy("c").rowsBetween(W.unboundedPreceding, -1))
+    files = files.select("p", "c", "n", F.coalesce(in_part, F.lit(0)).alias("here")).checkpoint()
+    first, parts = 0, []
+    for r in files.groupBy("p").agg(F.sum("n").alias("n")).orderBy("p").collect():
+        parts.append({"p": r["p"], "first": first})
+        first += r["n"]
+    files = files.join(small_table(spark, parts, "p long, first long"), "p").select("p", "c", (F.col("first") + F.col("here")).alias("first"))
+    return found.join(files, ["p", "c"]).select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -415,4 +436,4 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_files(read(spark, sf_dir, "documents"), path, public_tokenizer())
     found = read_files(spark, path).checkpoint()
     drop_path(spark, path)
-    return with_starts(found, path)
+    return with_starts(found)

@@ -584,7 +584,7 @@ def test_token_files(spark, messy, empty, tmp_path):
 
     t = Tokenizer.from_file(tokenids.public_tokenizer())
     tokenids.write_files(messy, f"file://{tmp_path}/t", tokenids.public_tokenizer())
-    rows = sorted(tokenids.with_starts(tokenids.read_files(spark, f"file://{tmp_path}/t"), "").collect(), key=lambda r: r["start"])
+    rows = sorted(tokenids.with_starts(tokenids.read_files(spark, f"file://{tmp_path}/t")).collect(), key=lambda r: r["start"])
     at = 0
     for r in rows:
         assert r["start"] == at
@@ -593,7 +593,28 @@ def test_token_files(spark, messy, empty, tmp_path):
     want = sorted((str(i), zlib.crc32(np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for i, x in MESSY)
     assert sorted((str(r["doc_id"]), r["ids_crc32"]) for r in rows) == want
     tokenids.write_files(empty, f"file://{tmp_path}/e", tokenids.public_tokenizer())
-    assert tokenids.with_starts(tokenids.read_files(spark, f"file://{tmp_path}/e"), "").count() == 0
+    assert tokenids.with_starts(tokenids.read_files(spark, f"file://{tmp_path}/e")).count() == 0
+
+
+def test_rows_without_ids_are_dealt_over_files(spark, tmp_path):
+    d = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("some text "), F.col("id").cast("string")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tokenids.write_files(d, f"file://{tmp_path}/n", tokenids.public_tokenizer())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = tokenids.read_files(spark, f"file://{tmp_path}/n")
+    assert got.select("path").distinct().count() > 1 and got.count() == 2000
+    rows = sorted((r["start"], r["n_tokens"]) for r in tokenids.with_starts(got).collect())
+    assert rows[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(rows, rows[1:]))
+
+
+def test_files_are_in_the_order_of_their_numbers(spark):
+    names = ["part-99999-x-c000.txt", "part-100000-x-c000.txt", "part-100000-x-c999.txt", "part-100000-x-c1000.txt", "part-100001-x.txt"]
+    rows = [(f"file:/a-b/part-7-c9/{p}", i, 2 * k, k + 1) for i, p in enumerate(names) for k in range(2)]
+    df = spark.createDataFrame([(p, None, i, b, n, 0) for p, i, b, n in rows], "path string, nth long, doc_id long, before long, n_tokens long, ids_crc32 long")
+    got = tokenids.with_starts(df).collect()
+    assert sorted((r["start"], r["doc_id"]) for r in got) == [(3 * i + 2 * k, i) for i in range(5) for k in range(2)]
 
 
 # 10 mixing
