@@ -4,9 +4,10 @@ The lexicon is learned: words whose share of labelled toxic documents is many ti
 different contexts (copies of one text give one context). A text's distinct words run through one automaton, the
 intersection of the lexicon's trie with the Levenshtein automata of its terms: a state is a set of (trie node,
 edits so far), made into a deterministic state when it is first met. So misspelled terms are found at the cost of a
-table look-up a letter, and words that are near no term end after a few letters. Each hit is weighed by its window:
-quotation marks around it and words of report before it make it a quotation, which has its own features. A logistic
-regression on a handful of features, fitted on a bounded sample of labelled rows, gives the score.
+table look-up a letter, and words that are near no term end after a few letters. Each hit has a score of its window,
+from 0 (abuse) to 1 (quotation), by the distance of quotation marks around it and of words of report before it, and
+counts to that part as a quotation, which has its own feature. A logistic regression on a handful of features,
+fitted on a bounded sample of labelled rows, gives the score.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from quarry.llm.words import AT_ONCE, LOWER, hashes, raw, split
 #: Labelled rows that a model is fitted on, about; the bound holds at any size of the input.
 FIT_ROWS = 20_000
 MIN_CONTEXTS, MIN_LIFT, WINDOW, THRESHOLD = 6, 8.0, 6, 0.3
+#: The score of every text where labels tell nothing.
+NOTHING = 0.01
 #: Beginnings of words of these lengths are terms too, if they are as telling in STEM_CONTEXTS contexts; written with a star.
 STEMS, STEM_CONTEXTS = (4, 5, 6), 12
 EDGE = "\"'`.,;:!?()[]{}<>«»„“”‘’…*#%&$|-–—~_=+/\\"
@@ -147,17 +150,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def is_quotation(text: bytes, begin: np.ndarray, length: np.ndarray, first: int, last: int, at: int) -> bool:
-    """Whether the words around the hit put it between quotation marks, or report it."""
+def quotation(text: bytes, begin: np.ndarray, length: np.ndarray, first: int, last: int, at: int) -> float:
+    """How far the window of a hit makes it a quotation: 0 abuse, 1 quoted or reported.
+
+    Marks of quotation on both sides count by the words between them and the hit, words of report before it by their
+    distance; the stronger of the two counts.
+    """
     low, high = max(first, at - WINDOW), min(last, at + WINDOW + 1)
     around = [text[begin[k] : begin[k] + length[k]].decode("utf-8", "replace") for k in range(low, high)]
     here = at - low
-    if any(w[:1] in QUOTES for w in around[: here + 1] if w) and any(w.rstrip(".,;:!?")[-1:] in QUOTES for w in around[here:] if w.rstrip(".,;:!?")):
-        return True
-    return any(w.strip(EDGE).lower() in REPORT for w in around[max(0, here - 3) : here])
+    opens = next((here - k for k in range(here, -1, -1) if around[k][:1] in QUOTES), None)
+    closes = next((k - here for k in range(here, len(around)) if (w := around[k].rstrip(".,;:!?")) and w[-1] in QUOTES), None)
+    marks = 0.0 if opens is None or closes is None else min(1.0, 2 - (opens + closes) / (WINDOW + 1))
+    report = next((k for k in range(1, min(here, WINDOW) + 1) if around[here - k].strip(EDGE).lower() in REPORT), None)
+    return max(marks, 0.0 if report is None else min(1.0, (WINDOW + 1 - report) / 4))
 
 
-def hits(column: pa.Array, automaton: Automaton) -> Iterator[tuple[int, list[tuple[int, int, bool]]]]:
+def hits(column: pa.Array, automaton: Automaton) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
     """(number of words, [(term, edits, quotation)]) of each row."""
     data, offsets = raw(column)
     if len(data) > AT_ONCE and len(column) > 1:
@@ -166,7 +175,7 @@ def hits(column: pa.Array, automaton: Automaton) -> Iterator[tuple[int, list[tup
         yield from hits(column.slice(half), automaton)
         return
     begin, length, first = split(data, offsets)
-    rows: list[list[tuple[int, int, bool]]] = [[] for _ in range(len(column))]
+    rows: list[list[tuple[int, int, float]]] = [[] for _ in range(len(column))]
     if len(begin):
         _, at, inverse = np.unique(hashes(LOWER[data], begin, length), return_index=True, return_inverse=True)
         text, term, near = data.tobytes(), np.full(len(at), -1), np.zeros(len(at), int)
@@ -176,15 +185,19 @@ def hits(column: pa.Array, automaton: Automaton) -> Iterator[tuple[int, list[tup
         which = term[inverse]
         for w in np.flatnonzero(which >= 0).tolist():
             row = int(np.searchsorted(first, w, side="right")) - 1
-            rows[row].append((int(which[w]), int(near[inverse[w]]), is_quotation(text, begin, length, int(first[row]), int(first[row + 1]), w)))
+            rows[row].append((int(which[w]), int(near[inverse[w]]), quotation(text, begin, length, int(first[row]), int(first[row + 1]), w)))
     yield from zip((first[1:] - first[:-1]).tolist(), rows, strict=True)
 
 
-def features(words: int, found: list[tuple[int, int, bool]]) -> list[float]:
-    plain = sum(not q and e == 0 for _, e, q in found)
-    near = sum(not q and e > 0 for _, e, q in found)
+def features(words: int, found: list[tuple[int, int, float]]) -> list[float]:
+    """Each hit counts as abuse by what its window leaves of it, and as a quotation by the rest."""
+    plain = sum(1 - q for _, e, q in found if e == 0)
+    near = sum(1 - q for _, e, q in found if e > 0)
     quoted = sum(q for _, _, q in found)
-    return [float(plain + near > 0), math.log1p(plain), math.log1p(near), math.log1p(quoted), min(1.0, 20 * (plain + near) / max(1, words)), math.log1p(len({t for t, _, q in found if not q}))]
+    terms: dict[int, float] = {}
+    for t, _, q in found:
+        terms[t] = max(terms.get(t, 0.0), 1 - q)
+    return [min(1.0, max(terms.values(), default=0.0)), math.log1p(plain), math.log1p(near), math.log1p(quoted), min(1.0, 20 * (plain + near) / max(1, words)), math.log1p(sum(terms.values()))]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -221,7 +234,7 @@ def lexicon(sample: DataFrame) -> list[str]:
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """(text, toxic): about `rows` labelled rows that are not held out, chosen by a hash of the id."""
-    known = labels.filter("toxic in (0, 1) and doc_id is not null").filter(~is_held_out()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    known = labels.filter("toxic in (0, 1) and doc_id is not null").filter(~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # toxic, where labels of one id differ
     n = known.count()
     if n > rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
@@ -233,23 +246,26 @@ def is_held_out():
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """A model of the labels; without both labels it knows no terms and scores 0.5 or the one label's side."""
+    """A model of the labels.
+
+    Where they are all alike, or no word tells them apart, nothing is known of any text and the model finds none
+    toxic: its score is NOTHING, whatever the share of toxic rows is.
+    """
     shared_dir(docs.sparkSession)
     sample = labelled(docs, labels, rows).checkpoint()
     total = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(total) < 2:
-        side = 0.0 if not total else 5.0 if 1 in total else -5.0
-        return Model(weights=np.array([side] + [0.0] * len(FEATURES)))
-    terms = lexicon(sample)
+    terms = lexicon(sample) if len(total) == 2 else []
+    if not terms:
+        return Model(weights=np.array([math.log(NOTHING / (1 - NOTHING))] + [0.0] * len(FEATURES)))
     automaton = Automaton(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = list(hits(b.column(0), automaton))
-            kind = pa.list_(pa.struct([("term", pa.int32()), ("edits", pa.int32()), ("quoted", pa.bool_())]))
+            kind = pa.list_(pa.struct([("term", pa.int32()), ("edits", pa.int32()), ("quoted", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([n for n, _ in out], pa.int64()), pa.array([[{"term": t, "edits": e, "quoted": q} for t, e, q in f] for _, f in out], kind)], names=["toxic", "words", "hits"])
 
-    found = sample.select("text", "toxic").mapInArrow(run, "toxic int, words long, hits array<struct<term: int, edits: int, quoted: boolean>>").checkpoint()
+    found = sample.select("text", "toxic").mapInArrow(run, "toxic int, words long, hits array<struct<term: int, edits: int, quoted: double>>").checkpoint()
     # A term whose misspellings are as common in other texts counts in its own spelling alone.
     near = found.select("toxic", F.explode(F.array_distinct(F.expr("transform(filter(hits, x -> x.edits > 0), x -> x.term)"))).alias("term")).groupBy("term", "toxic").count().collect()
     share = {(r["term"], r["toxic"]): r["count"] / total[r["toxic"]] for r in near}
