@@ -1,9 +1,9 @@
 import random
 
 import corpus_pipeline as cp
-from quarry.llm import minhash, toxicity
+from quarry.llm import common, minhash, toxicity
 from quarry.llm.common import kept
-from tests.llm.test_operators import brute_components
+from tests.llm.test_operators import brute_components, id_counts
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -49,7 +49,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert len(seen["secrets"]) == len(seen["near_dedup"]) and not any("token=abc" in (r["text"] or "") for r in seen["secrets"]) and any("[REDACTED]" in (r["text"] or "") for r in seen["secrets"])
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in seen["secrets"])
     assert sorted(map(str, seen["mixing"])) == sorted(map(str, seen["secrets"]))
-    tokens = {r["doc_id"]: len((r["text"] or "").split()) + 1 for r in seen["mixing"]}
+    tokens = dict(zip([r["doc_id"] for r in seen["mixing"]], id_counts([r["text"] for r in seen["mixing"]])))
     got = {}
     for r in seen["packing"]:
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["n_tokens"]
@@ -71,7 +71,7 @@ def test_packing_follows_the_mix(spark, monkeypatch):
     runs = []
     for power in (0.7, 9.0):
         monkeypatch.setattr(cp.mixing, "temperature_weights", lambda counts, power=power: {s: n**power for s, n in counts.items()})
-        place = {r["doc_id"]: r["_quarry_place"] for r in cp.with_places(docs).collect()}
+        place = {r["doc_id"]: r["_quarry_place"] for r in cp.place_of(cp.mixing.mix(docs)).collect()}
         out = sorted(cp.pack_sequences(spark, cp.mix_sources(spark, docs, ""), "").collect(), key=lambda r: (r["bin_id"], r["bin_offset"]))
         first = [place[r["doc_id"]] for r in out if r["bin_offset"] == 0]
         assert first == sorted(first) and sorted({r["bin_id"] for r in out}) == list(range(len(first)))
@@ -84,6 +84,28 @@ def test_packing_follows_the_mix(spark, monkeypatch):
     assert runs[0] != runs[1]
 
 
+def test_stages_keep_columns_and_rows_apart(spark, tmp_path):
+    many = " ".join(f"k{i}" for i in range(30))
+    rows = [(1, many, 0.25), (1, "another text under one id", 0.5), (2, many + " x", 1.0), (None, many, 2.0), (None, "token=abcdef123 here", 3.0), (3, None, None), (3, None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, x, 7, "b", 5, True) for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, slot int, block string, _idx int, kept boolean")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    out = docs
+    for (_, stage), n in zip(cp.STAGES[:-1], (7, 6, 6, 6)):
+        out = kept(stage(spark, out, f"file://{tmp_path}"), "stage")
+        assert out.schema.simpleString() == docs.schema.simpleString() and out.count() == n
+    assert sorted(str((r["doc_id"], r["score"])) for r in out.collect()) == sorted(map(str, [(1, 0.25), (1, 0.5), (None, 2.0), (None, 3.0), (3, None), (3, None)]))
+    assert sum(r["text"] == "[REDACTED] here" for r in out.collect()) == 1
+    packed = cp.pack_sequences(spark, out, "").collect()
+    assert len(packed) == 6 and all(len(r["ids"]) == r["n_tokens"] for r in packed)
+
+
+def test_run_leaves_one_table(spark, tmp_path):
+    d, _ = corpus(spark, tmp_path)
+    before = common.made()
+    out = cp.run(spark, d)
+    assert common.made() == before + 1 and out.count() > 100
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     d = f"file://{tmp_path}/sf"
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
