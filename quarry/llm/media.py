@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from quarry.llm.common import read
 
 FRAME, KEY_EVERY, CHUNK_FRAMES, TIMESCALE = 64, 16, 64, 25
+#: Boxes within boxes that are followed; deeper ones are damage.
+DEEPEST = 16
+#: Texts of a batch that are held as containers at once, in bytes.
+AT_ONCE = 1 << 22
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
 PROBE_SCHEMA = "track int, kind string, codec string, width int, height int, timescale long, duration long, samples long, keyframes array<struct<sample: long, begin: long, length: long>>, error string"
 
@@ -90,6 +94,8 @@ def boxes(data: memoryview, begin: int, end: int) -> Iterator[tuple[bytes, int,
 
 def walk(data: memoryview, begin: int, end: int, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
     """Every box, containers before what is in them."""
+    if len(path) > DEEPEST:
+        raise ValueError("boxes are nested too deep")
     for kind, a, b in boxes(data, begin, end):
         yield (*path, kind), a, b
         if kind in CONTAINERS:
@@ -103,7 +109,7 @@ class Track:
         self.kind = self.codec = ""
         self.width = self.height = self.timescale = self.duration = 0
         self.at: dict[bytes, np.ndarray] = {}
-        self.size, self.count = 0, 0
+        self.size, self.count, self.most = 0, 0, 0
 
     def take(self, kind: bytes, data: memoryview, a: int, b: int) -> None:
         def table(dtype: str, skip: int = 8, columns: int = 1) -> np.ndarray:
@@ -125,6 +131,14 @@ class Track:
             self.size, self.count = struct.unpack_from(">II", data, a + 4)
             if not self.size:
                 self.at[kind] = table(">u4", 12)[:, 0]
+            elif self.size * self.count > len(data):
+                raise ValueError("the samples are larger than the file")
+        elif kind == b"stz2":
+            bits, self.count = data[a + 7], int.from_bytes(data[a + 8 : a + 12])
+            if bits not in (4, 8, 16) or a + 12 + -(-self.count * bits // 8) > b:
+                raise ValueError(f"table {kind!r} is cut short")
+            entries = np.frombuffer(data[a + 12 : a + 12 + -(-self.count * bits // 8)], ">u2" if bits == 16 else "u1").astype(np.int64)
+            self.at[b"stsz"] = (entries if bits > 4 else np.stack([entries >> 4, entries & 15], axis=1).reshape(-1))[: self.count]
         elif kind in (b"stco", b"co64"):
             self.at[b"chunks"] = table(">u8" if kind == b"co64" else ">u4")[:, 0]
         elif kind == b"stsc":
@@ -136,9 +150,14 @@ class Track:
 
     def samples(self) -> tuple[np.ndarray, np.ndarray]:
         """Offset and length of each sample, from chunk offsets, samples a chunk and sizes."""
+        if not self.size and b"stsz" not in self.at:
+            raise ValueError("a track has no sample sizes")
         sizes = self.at[b"stsz"] if not self.size else np.full(self.count, self.size, dtype=np.int64)
         chunks, runs = self.at.get(b"chunks", np.zeros(0, np.int64)), self.at.get(b"stsc", np.zeros((0, 3), np.int64))
-        each = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
+        last = np.append(runs[1:, 0], len(chunks) + 1) - runs[:, 0]
+        if (last < 0).any() or int(last.sum()) != len(chunks):
+            raise ValueError("the runs of chunks disagree")
+        each = np.repeat(runs[:, 1], last)
         if each.sum() != len(sizes) or len(each) != len(chunks):
             raise ValueError("the sample tables disagree")
         chunk = np.repeat(np.arange(len(chunks)), each)
@@ -149,12 +168,16 @@ class Track:
     def keyframes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         offset, size = self.samples()
         k = self.at[b"stss"] - 1 if b"stss" in self.at else np.arange(len(size))
+        if len(k) and (k.min() < 0 or k.max() >= len(size)):
+            raise ValueError("a key frame is no sample")
         return k + 1, offset[k], size[k]
 
 
 def tracks(data: memoryview) -> list[Track]:
     out: list[Track] = []
     for path, a, b in walk(data, 0, len(data)):
+        if path[-1] == b"moof":
+            raise ValueError("fragmented files are not read")
         if path[-1] == b"trak":
             out.append(Track())
         elif out and path[:2] == (b"moov", b"trak"):
@@ -162,10 +185,10 @@ def tracks(data: memoryview) -> list[Track]:
     return out
 
 
-def read_payload(data: bytes) -> bytes:
-    """The samples of the first track, in order."""
+def read_payload(data: bytes, track: Track | None = None) -> bytes:
+    """The samples of a track, or of the first one, in order."""
     view = memoryview(data)
-    offset, size = tracks(view)[0].samples()
+    offset, size = (track or tracks(view)[0]).samples()
     if not len(size):
         return b""
     cuts = np.flatnonzero(np.append(True, offset[1:] != (offset + size)[:-1]))  # ranges without gaps
@@ -175,11 +198,21 @@ def read_payload(data: bytes) -> bytes:
     return b"".join(view[a:b] for a, b in zip(offset[cuts].tolist(), (offset + size)[ends].tolist(), strict=True))
 
 
+def slices(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about AT_ONCE bytes of that binary column; a longer row is a piece of its own."""
+    ends = np.cumsum(np.diff(np.frombuffer(b.column(column).buffers()[1], np.int64 if pa.types.is_large_binary(b.column(column).type) else np.int32)[b.column(column).offset :][: len(b) + 1].astype(np.int64)))
+    at = 0
+    while at < len(b):
+        n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right")) - at)
+        yield b.slice(at, n)
+        at += n
+
+
 def to_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """docs with the binary column `media`: the UTF-8 of the text (null: empty), padded to whole frames."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for b in batches for x in slices(b, b.schema.get_field_index(media))):
             i = b.schema.get_field_index(media)
             made = pa.array([encode(padded(x)) for x in b.column(i).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([made if j == i else c for j, c in enumerate(b.columns)], names=b.schema.names)
@@ -198,7 +231,7 @@ def probe_one(data: bytes | None) -> list[dict]:
             ticks = int((t.at[b"stts"][:, 0] * t.at[b"stts"][:, 1]).sum()) if b"stts" in t.at else t.duration
             out.append({"track": n, "kind": t.kind, "codec": t.codec.strip(), "width": t.width, "height": t.height, "timescale": t.timescale, "duration": ticks, "samples": t.count, "keyframes": keys, "error": None})
         return out
-    except (ValueError, struct.error, KeyError, IndexError) as e:
+    except (ValueError, struct.error, KeyError, IndexError, OverflowError) as e:
         return [{"track": None, "error": str(e) or type(e).__name__}]
 
 
@@ -210,7 +243,7 @@ def probe(df: DataFrame, id_column: str, media: str = "media") -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(parsed)
-        for b in batches:
+        for b in (x for b in batches for x in slices(b, 1)):
             rows = [{id_column: i} | x for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in probe_one(data)]
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
@@ -225,10 +258,11 @@ def digests(df: DataFrame, media: str = "media") -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for b in batches for x in slices(b, 2)):
             out = []
-            for data in b.column(2).to_pylist():
-                payload, t = read_payload(data), tracks(memoryview(data))[0]
+            for data in (x.as_py() for x in b.column(2)):
+                t = tracks(memoryview(data))[0]
+                payload = read_payload(data, t)
                 key, begin, length = t.keyframes()
                 ranges = zlib.crc32(np.stack([key, begin, length]).astype("<i8").tobytes())
                 feature = f"{t.kind}/{t.codec.strip()} {t.width}x{t.height} duration={t.duration}/{t.timescale} samples={t.count} keyframes={len(key)} first={begin[0]}+{length[0]} last={begin[-1]}+{length[-1]} ranges={ranges:08x}"
