@@ -37,7 +37,7 @@ RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
     Rule("git_host", r"gh[opsu]_[A-Za-z0-9]+", 0, 40),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]+", 0, 39),
     Rule("payment", r"sk_live_[A-Za-z0-9]+", 0, 24),
     Rule("url_login", r"://[A-Za-z0-9._~-]+:[A-Za-z0-9._~%!$&*+=-]+@"),
