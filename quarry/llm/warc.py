@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import drop_path, kept, new_path, read, shared_dir
+from quarry.llm.common import drop_made, drop_path, kept, made, new_path, read, shared_dir
 
 SEGMENT, CHUNK, RECORDS_PER_FILE = 8192, 4096, 2000
 END = b"\r\n"
@@ -182,10 +182,10 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
     written.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def read_archive(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, with_payload: bool = False, drop: bool = False) -> DataFrame:
     """One row a record: what RECORDS names; error says why a record could not be put together or differs.
 
-    The archives are parsed when this is called; the rows do not need them afterwards.
+    The archives are parsed when this is called; the rows do not need them afterwards. drop: they go once they are parsed.
     """
     names = [x.split()[0] for x in _PARTS.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
@@ -220,7 +220,10 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = False) ->
                     yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(take, _PARTS)
+    before = made()
     found = kept(found, "records")
+    if drop:
+        drop_path(spark, path)
     whole = found.filter("origin is null").select(*names[: len(arrow_out)])
     parts = found.filter("origin is not null")
     parts = parts.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("number", "total", "content", "payload_digest", "url", "record_type"))).alias("parts"))
@@ -240,6 +243,7 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = False) ->
                 yield pa.RecordBatch.from_pylist([row], schema=arrow_out)
 
     read = kept(whole.unionByName(parts.mapInArrow(join_up, RECORDS)), "payloads")
+    drop_made(spark, before)  # the segments
     responses = read.filter("record_type = 'response' and error is null").groupBy("payload_digest").agg(F.max("payload_bytes").alias("_bytes"))
     revisits = read.filter("record_type = 'revisit'").join(responses, "payload_digest", "left")
     missing = F.when(F.col("_bytes").isNull(), F.lit("the response of this payload is not there"))
@@ -256,6 +260,4 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_dir(spark)
     path = new_path(spark, "warc")
     write_archive(read(spark, sf_dir, "pages"), path)
-    out = read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
-    drop_path(spark, path)  # what was parsed is kept apart
-    return out
+    return read_archive(spark, path, drop=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
