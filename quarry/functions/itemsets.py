@@ -22,7 +22,3 @@ def render(items: Column) -> Column:
 
 def result_line(items: Column, utility: Column) -> Column:
     return F.concat(render(items), F.lit(" #UTIL: "), utility.cast("string"))
-
-
-def contains_all(items: Column, wanted: Column) -> Column:
-    return F.size(F.array_except(wanted, items)) == 0

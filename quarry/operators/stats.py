@@ -26,6 +26,14 @@ def ranked(lines: DataFrame, theta: int = 0) -> DataFrame:
     return with_tu(lines.join(order, "item").select("tid", "rank", "item", "util"))
 
 
+def names_of(items: DataFrame, theta: int = 0) -> DataFrame:
+    """(item, rank) of the promising items: ranks ascend with (TWU, item), with gaps between a sort's partitions.
+
+    The sort is by range, so no task holds all items. Cut it before it is used twice.
+    """
+    return items.filter(F.col("twu") >= theta).orderBy("twu", "item").select("item", F.monotonically_increasing_id().alias("rank"))
+
+
 def utility_lists(rows: DataFrame) -> DataFrame:
     """Adds rutil: the utility of the items of higher rank in the transaction."""
     after = W.partitionBy("tid").orderBy("rank").rowsBetween(1, W.unboundedFollowing)
@@ -64,12 +72,12 @@ def root_descendants(rows: DataFrame) -> DataFrame:
     return rows.select("item", F.first("item").over(w).alias("root")).filter("item <> root").groupBy("root", "item").agg(F.count("*").alias("count"))
 
 
-def runs(rows: DataFrame, longest: int = 16) -> DataFrame:
-    """(start, finish, utility): runs of 2 to `longest` items of adjacent rank that occur together."""
+def runs(rows: DataFrame) -> DataFrame:
+    """(start, finish, utility): runs of 2 or more items of adjacent rank that occur together; ranks without gaps."""
     w = W.partitionBy("tid").orderBy("rank")
     rows = rows.select("tid", "rank", "util", (F.col("rank") - F.row_number().over(w)).alias("island"))
     tx = rows.groupBy("tid", "island").agg(F.array_sort(F.collect_list(F.struct("rank", "util"))).alias("x"))
-    starts = tx.select("x", F.posexplode("x").alias("p", "a")).select("a", F.expr(f"slice(x, p + 1, {longest})").alias("run"))
+    starts = tx.select("x", F.posexplode("x").alias("p", "a")).select("a", F.expr("slice(x, p + 1, size(x))").alias("run"))
     ends = starts.filter("size(run) > 1").select(F.col("a.rank").alias("start"), "run", F.explode(F.expr("sequence(2, size(run))")).alias("n"))
     total = F.expr("aggregate(slice(run, 1, n), 0L, (s, x) -> s + x.util)")
     return ends.select("start", (F.col("start") + F.col("n") - 1).alias("finish"), total.alias("util")).groupBy("start", "finish").agg(F.sum("util").alias("utility"))
@@ -78,7 +86,7 @@ def runs(rows: DataFrame, longest: int = 16) -> DataFrame:
 def run_bounds(found: DataFrame, riu: DataFrame, removed: int = 3) -> DataFrame:
     """(start, finish, gone, bound): a run's utility less the whole utility of 1 to `removed` items within it.
 
-    riu has (rank, riu), one row an item. Runs are short, so each has a bounded number of such choices.
+    riu has (rank, riu), one row an item. A run of n items has about n ** removed / 6 such choices.
     """
     inner = found.filter("finish - start > 1").select("start", "finish", "utility", F.explode(F.expr("sequence(start + 1, finish - 1)")).alias("rank"))
     inner = inner.join(riu, "rank").groupBy("start", "finish", "utility").agg(F.array_sort(F.collect_list(F.struct("rank", "riu"))).alias("x"))

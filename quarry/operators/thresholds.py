@@ -37,10 +37,10 @@ def descendant_bounds(rows: DataFrame, items: DataFrame) -> DataFrame:
     return pairs.select(F.array_sort(F.array("root", "item")).alias("itemset"), ((F.col("miu") + F.col("rmiu")) * F.col("count")).alias("bound"))
 
 
-def leaf_bounds(rows: DataFrame, longest: int = 16, removed: int = 3) -> DataFrame:
+def leaf_bounds(rows: DataFrame, removed: int = 3) -> DataFrame:
     """Runs, runs with items removed, and single items; itemsets are arrays of ranks."""
     riu = rows.groupBy("rank").agg(F.sum("util").alias("riu"))
-    found = stats.runs(rows, longest)
+    found = stats.runs(rows)
     whole = found.select(F.sequence("start", "finish").alias("itemset"), F.col("utility").alias("bound"))
     less = stats.run_bounds(found, riu, removed).select(F.array_except(F.sequence("start", "finish"), "gone").alias("itemset"), "bound")
     return whole.unionByName(less).unionByName(riu.select(F.array("rank").alias("itemset"), F.col("riu").alias("bound")))
@@ -52,5 +52,15 @@ def kth_bound(bounds: DataFrame, k: int) -> DataFrame:
     return top.agg(F.when(F.count("*") >= k, F.min("bound")).otherwise(F.lit(0).cast("long")).alias("theta"))
 
 
+def top_bounds(bounds: DataFrame, k: int) -> dict[tuple, int]:
+    """The k largest bounds by itemset; k rows reach the driver."""
+    rows = bounds.filter("bound > 0").groupBy("itemset").agg(F.max("bound").alias("bound")).orderBy(F.col("bound").desc()).limit(k).collect()
+    return {tuple(r["itemset"]): r["bound"] for r in rows}
+
+
+def kth_of(bounds: dict[tuple, int], k: int) -> int:
+    return sorted(bounds.values(), reverse=True)[k - 1] if len(bounds) >= k else 0
+
+
 def threshold(k: int, *bounds: DataFrame) -> int:
     return kth_bound(reduce(DataFrame.unionByName, bounds), k).first()["theta"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,13 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the cluster's shared folder; a local one is set only where none is named."""
+    """df checkpointed in the cluster's shared folder; a local one is set only where none is named and all is one process."""
     spark: SparkSession = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quarry-')}")
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(at or f"file://{tempfile.mkdtemp(prefix='quarry-')}")
     return df.checkpoint()
 
 
@@ -39,8 +43,7 @@ def top(found: DataFrame, k: int, ties: str) -> DataFrame:
     return found.withColumn("r", rank).filter(F.col("r") <= k).drop("r")
 
 
-def named(found: DataFrame, rows: DataFrame) -> DataFrame:
-    """Itemsets of ranks as sorted itemsets of items; one row for each rank and result meets the item table."""
-    items = rows.select("rank", "item").distinct()
-    out = found.select("ranks", "utility", "support", F.explode("ranks").alias("rank")).join(items, "rank")
+def named(found: DataFrame, names: DataFrame) -> DataFrame:
+    """Itemsets of ranks as sorted itemsets of items; one row for each rank and result meets the names (item, rank)."""
+    out = found.select("ranks", "utility", "support", F.explode("ranks").alias("rank")).join(names, "rank")
     return out.groupBy("ranks", "utility", "support").agg(F.array_sort(F.collect_list("item")).alias("itemset")).select("itemset", "utility", "support")

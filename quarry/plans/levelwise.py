@@ -37,6 +37,7 @@ def singles(lines: DataFrame) -> DataFrame:
 def mine(rows: DataFrame, k: int, theta: int, pair_filter: bool = True, stats: dict | None = None) -> DataFrame:
     """(ranks, utility, support) of all sets that reach the k-th utility, and some that do not."""
     stats = {} if stats is None else stats
+    rows = cut(rows)
     lines = cut(utility_lists(rows))
     lists, found, levels = singles(lines), [], 0
     pairs = cut(pair_stats(rows, "rank").filter(F.col("twu") >= theta)) if pair_filter else None
@@ -50,5 +51,5 @@ def mine(rows: DataFrame, k: int, theta: int, pair_filter: bool = True, stats: d
         if not keep.head(1):
             break
         lists = cut(extend(lists, lines, keep, pairs))
-    stats |= {"levels": levels, "theta_final": theta}
+    stats |= {"levels": levels, "theta_search": theta}
     return reduce(DataFrame.unionByName, found).filter(F.col("utility") >= theta)

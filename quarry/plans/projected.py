@@ -1,8 +1,10 @@
 """Projected mining: a group for each first item, searched depth first where it fits in a task.
 
-A set belongs to the group of its item of lowest rank, so groups share nothing but the threshold. A group of more
-than `cells` items is not given to a task: its prefix is measured by an aggregation and it is dealt again by the
-next item, until groups fit. Transactions with equal items are merged first where that halves them: utilities add.
+A set belongs to the group of its item of lowest rank, so groups share nothing but the threshold. Where all groups
+together fit in a task's measure (`cells` items) they are dealt as they are. Else each is measured by an aggregation
+first; a group of more than `cells` items is not given to a task, but dealt again by the next item, until groups fit.
+Transactions with equal items are merged first where that halves them: utilities add. Only what follows an item is
+sent to its group.
 """
 
 from __future__ import annotations
@@ -11,26 +13,33 @@ import heapq
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.plans.common import cut, kth
 
 CELLS = 1_000_000
+FOUND = "ranks array<long>, utility long, support long"
 
 
 def arrays(rows: DataFrame, merge: bool | None = None) -> DataFrame:
     """(ranks, utils, many): transactions as arrays by rank, `many` alike in one."""
-    tx = rows.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("rank", "util"))).alias("x")).select(F.col("x.rank").alias("ranks"), F.col("x.util").alias("utils"), F.lit(1).cast("long").alias("many"))
+    return _arrays(rows, merge)[0]
+
+
+def _arrays(rows: DataFrame, merge: bool | None = None) -> tuple[DataFrame, int]:
+    """The transactions, and how many items all their suffixes have."""
+    x = F.array_sort(F.collect_list(F.struct(F.col("rank").cast("long").alias("rank"), "util")))
+    tx = cut(rows.groupBy("tid").agg(x.alias("x")).select(F.col("x.rank").alias("ranks"), F.col("x.util").alias("utils"), F.lit(1).cast("long").alias("many")))
+    size = F.size("ranks").cast("long")
+    n = tx.agg(F.count("*").alias("n"), F.approx_count_distinct("ranks").alias("d"), F.sum(size * (size + 1) / 2).cast("long").alias("cells")).first()
     if merge is None:
-        tx = cut(tx)
-        n = tx.agg(F.count("*").alias("n"), F.approx_count_distinct("ranks").alias("d")).first()
         merge = n["d"] * 2 < n["n"]
-    if not merge:
-        return tx
-    each = tx.select("ranks", F.posexplode("utils").alias("p", "u")).groupBy("ranks", "p").agg(F.sum("u").alias("u"), F.count("*").alias("many"))
-    return each.groupBy("ranks").agg(F.array_sort(F.collect_list(F.struct("p", "u"))).alias("x"), F.max("many").alias("many")).select("ranks", F.col("x.u").alias("utils"), "many")
+    if merge:
+        each = tx.select("ranks", F.posexplode("utils").alias("p", "u")).groupBy("ranks", "p").agg(F.sum("u").alias("u"), F.count("*").alias("many"))
+        tx = each.groupBy("ranks").agg(F.array_sort(F.collect_list(F.struct("p", "u"))).alias("x"), F.max("many").alias("many")).select("ranks", F.col("x.u").alias("utils"), "many")
+    return tx, n["cells"] or 0
 
 
 def heads(tx: DataFrame) -> DataFrame:
@@ -46,102 +55,144 @@ def measured(each: DataFrame) -> DataFrame:
     return groups.select("prefix", "r", F.concat("prefix", F.array("r")).alias("ranks"), "utility", "bound", "support", "n")
 
 
-def deal(each: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of the wanted heads: prefix, what it holds already, and what may follow."""
-    each = each.join(wanted.select("prefix", "r"), ["prefix", "r"], "left_semi")
-    return each.select(F.concat("prefix", F.array("r")).alias("prefix"), (F.col("own") + F.expr("utils[p]")).alias("own"), F.expr("slice(ranks, p + 2, size(ranks))").alias("ranks"), F.expr("slice(utils, p + 2, size(utils))").alias("utils"), "many")
+def deal(each: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """The rows of the wanted heads, or of all: prefix, what it holds already, and what may follow."""
+    own, after = F.col("own") + F.expr("utils[p]"), [F.expr(f"slice({c}, p + 2, size({c}))").alias(c) for c in ("ranks", "utils")]
+    each = each.select("prefix", "r", own.alias("own"), *after, "many")  # before rows are sent
+    if wanted is not None:
+        each = each.join(wanted.select("prefix", "r"), ["prefix", "r"], "left_semi")
+    return each.select(F.concat("prefix", F.array("r")).alias("prefix"), "own", "ranks", "utils", "many")
+
+
+class Best:
+    """The sets found, and the least utility that another needs: theta, or the k-th found if that is more."""
+
+    def __init__(self, k: int, theta: int):
+        self.k, self.least = k, theta
+        self.found: list[tuple[list[int], int, int]] = []
+        self._best: list[int] = []
+
+    def take(self, ranks: list[int], utility: int, support: int) -> None:
+        if utility < self.least:
+            return
+        self.found.append((ranks, utility, support))
+        if len(self._best) < self.k:
+            heapq.heappush(self._best, utility)
+        elif utility > self._best[0]:
+            heapq.heapreplace(self._best, utility)
+        if len(self._best) == self.k:
+            self.least = max(self.least, self._best[0])
 
 
-def search(prefix: list[int], own: np.ndarray, many: np.ndarray, ranks: list, utils: list, k: int, theta: int) -> list[tuple[list[int], int, int]]:
-    """(ranks, utility, support) of the group's sets that may be among the k largest, depth first over utility lists.
+def after_each(util: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each place of rows [begin, end) that follow each other, the utility of what follows it in its row."""
+    total = np.concatenate([[0], np.cumsum(util)])
+    return np.repeat(total[end], end - begin) - total[1:]
 
-    An item leaves first if all that the transactions with it hold in this group is less than theta.
+
+def search(best: Best, prefix: list[int], rank: np.ndarray, util: np.ndarray, rest: np.ndarray, begin: np.ndarray, end: np.ndarray, own: np.ndarray, many: np.ndarray, pair_filter: bool = True) -> None:
+    """Takes the group's sets that may be among the k largest, depth first over utility lists.
+
+    A row of the group is the places [begin, end) of rank, util and rest, by rank, and what it holds of the prefix.
+    All extensions of a set are measured at once. An item is grown only if what it has and what follows reaches the
+    threshold, and it may follow a set only if the rows that hold both, from the set on, reach it (`ahead`): rows
+    that lack the item are left out of the set's bound, and no more can be left of a pair than its TWU. Items that
+    may not follow are taken out of the rows, so they are not counted as what follows either.
     """
-    sizes = np.fromiter(map(len, ranks), np.int64, len(ranks))
-    tid = np.repeat(np.arange(len(ranks)), sizes)
-    rank = np.concatenate(ranks).astype(np.int64) if len(tid) else tid
-    util = np.concatenate(utils).astype(np.int64) if len(tid) else tid
-    if len(tid):
-        whole = own + np.bincount(tid, util, len(ranks)).astype(np.int64) if util.sum() < 1 << 53 else own + np.array([int(sum(x)) for x in utils])
-        values, item = np.unique(rank, return_inverse=True)
-        most = np.zeros(len(values), np.int64)
-        np.add.at(most, item, whole[tid])
-        stay = most[item] >= theta
-        tid, rank, util = tid[stay], rank[stay], util[stay]
-    total = np.cumsum(util)
-    last = np.searchsorted(tid, tid, side="right") - 1
-    rest = total[last] - total
-    order = np.lexsort((tid, rank))
-    tid, rank, util, rest = tid[order], rank[order], util[order], rest[order]
-    edge = np.flatnonzero(np.append(rank[:1] == rank[:1], rank[1:] != rank[:-1])).tolist()
-    items = [(int(rank[a]), tid[a:z], util[a:z], rest[a:z]) for a, z in zip(edge, [*edge[1:], len(rank)], strict=False)]
-    out: list[tuple[list[int], int, int]] = []
-    best: list[int] = []
-    least = theta
-
-    def take(found: list[int], utility: int, support: int) -> None:
-        nonlocal least
-        if utility >= least:
-            out.append((found, utility, support))
-            if len(best) < k:
-                heapq.heappush(best, utility)
-            elif utility > best[0]:
-                heapq.heapreplace(best, utility)
-            if len(best) == k:
-                least = max(least, best[0])
-
-    take(prefix, int(own.sum()), int(many.sum()))
-    place = np.full(len(ranks), -1, np.int64)
-    stack = [(prefix, np.arange(len(ranks)), own, 0)]
+    best.take(prefix, int(own.sum()), int(many.sum()))
+    stack = [(prefix, None, rank, util, rest, begin, end, own, many)]
     while stack:
-        path, tids, sums, after = stack.pop()
-        place[tids] = np.arange(len(tids))
-        grown = []
-        for n in range(after, len(items)):
-            r, t, u, rem = items[n]
-            at = place[t]
-            ok = at >= 0
-            if not ok.any():
-                continue
-            mine = sums[at[ok]] + u[ok]
-            utility = int(mine.sum())
-            take([*path, r], utility, int(many[t[ok]].sum()))
-            if utility + int(rem[ok].sum()) >= least:
-                grown.append(([*path, r], t[ok], mine, n + 1))
-        place[tids] = -1
-        stack += grown
-    return [x for x in out if x[1] >= least]
-
-
-def mine(rows: DataFrame, k: int, theta: int, cells: int = CELLS, merge: bool | None = None, stats: dict | None = None) -> DataFrame:
+        path, bound, rank, util, rest, begin, end, own, many = stack.pop()
+        fresh = True
+        while bound is None or bound >= best.least:
+            n = end - begin
+            row = np.repeat(np.arange(len(n)), n)
+            if not len(row):
+                break
+            place = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(len(row))
+            order = np.argsort(rank[place], kind="stable")
+            at, in_row = place[order], row[order]
+            r = rank[at]
+            new = np.append(True, r[1:] != r[:-1])
+            edge = np.flatnonzero(new)
+            here = own[in_row] + util[at]
+            utility = np.add.reduceat(here, edge)
+            most = utility + np.add.reduceat(rest[at], edge)
+            if fresh:
+                support = np.add.reduceat(many[in_row], edge)
+                for i in np.flatnonzero(utility >= best.least).tolist():
+                    best.take([*path, int(r[edge[i]])], int(utility[i]), int(support[i]))
+                if pair_filter:
+                    some = np.minimum(begin, len(rank) - 1)
+                    whole = own + np.where(n > 0, util[some] + rest[some], 0)
+                    ahead = np.add.reduceat(whole[in_row], edge) >= best.least
+                    if not ahead.all():
+                        stays = np.empty(len(row), bool)
+                        stays[order] = ahead[np.cumsum(new) - 1]
+                        rank, util, row = rank[place[stays]], util[place[stays]], row[stays]
+                        end = np.cumsum(np.bincount(row, minlength=len(n)))
+                        begin = np.append(0, end[:-1])
+                        rest = after_each(util, begin, end)
+                        fresh = False
+                        continue
+            grown = np.flatnonzero(most >= best.least)
+            ends = np.append(edge[1:], len(r))
+            for i in grown[np.argsort(most[grown], kind="stable")].tolist():  # the largest comes off the stack first
+                a, z = edge[i], ends[i]
+                stack.append(([*path, int(r[a])], int(most[i]), rank, util, rest, at[a:z] + 1, end[in_row[a:z]], here[a:z], many[in_row[a:z]]))
+            break
+
+
+def mine(rows: DataFrame, k: int, theta: int, cells: int = CELLS, merge: bool | None = None, pair_filter: bool = True, stats: dict | None = None) -> DataFrame:
+    """(ranks, utility, support) of all sets that reach the k-th utility, and some that do not."""
     stats = {} if stats is None else stats
-    tx = cut(arrays(rows, merge)).select(F.expr("cast(array() as array<int>)").alias("prefix"), F.lit(0).cast("long").alias("own"), "ranks", "utils", "many")
+    tx, total = _arrays(rows, merge)
+    tx = tx.select(F.expr("cast(array() as array<long>)").alias("prefix"), F.lit(0).cast("long").alias("own"), "ranks", "utils", "many")
     found, levels = [], 0
 
-    def run(groups: pd.DataFrame) -> pd.DataFrame:
-        """A bucket of groups: small ones share a call."""
-        prefix, own, many = groups["prefix"].map(tuple).tolist(), groups["own"].to_numpy(np.int64), groups["many"].to_numpy(np.int64)
-        ranks, utils = groups["ranks"].tolist(), groups["utils"].tolist()
-        where: dict[tuple, list[int]] = {}
-        for i, x in enumerate(prefix):
-            where.setdefault(x, []).append(i)
-        out = [x for p, i in where.items() for x in search([int(r) for r in p], own[i], many[i], [ranks[j] for j in i], [utils[j] for j in i], k, theta)]
-        return pd.DataFrame(out, columns=["ranks", "utility", "support"])
+    def run(groups: pa.Table) -> pa.Table:
+        """A bucket of groups: small ones share a call, and what they find raises the threshold for the next."""
+        groups = groups.combine_chunks()
+        column = {c: groups.column(c).chunk(0) for c in groups.column_names} if len(groups) else {}
+        offsets = np.asarray(column["ranks"].offsets, dtype=np.int64)
+        begin, end = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+        rank, util = (column[c].flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ranks", "utils"))
+        rest = after_each(util, begin, end)
+        own, many, key = (column[c].to_numpy() for c in ("own", "many", "key"))
+        order = np.argsort(key, kind="stable")
+        edges = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])).tolist()
+        parts = [order[a:z] for a, z in zip(edges, [*edges[1:], len(order)], strict=True)]
+        whole = own + np.where(end > begin, util[np.minimum(begin, max(0, len(util) - 1))] + rest[np.minimum(begin, max(0, len(util) - 1))], 0) if len(util) else own
+        best = Best(k, theta)
+        for i in sorted(parts, key=lambda i: -int(whole[i].sum())):
+            if int(whole[i].sum()) >= best.least:
+                search(best, column["prefix"][int(i[0])].as_py(), rank, util, rest, begin[i], end[i], own[i], many[i], pair_filter)
+        out = [x for x in best.found if x[1] >= best.least]
+        return pa.table({"ranks": pa.array([x[0] for x in out], pa.list_(pa.int64())), "utility": pa.array([x[1] for x in out], pa.int64()), "support": pa.array([x[2] for x in out], pa.int64())})
+
+    def searched(dealt: DataFrame, n: int) -> DataFrame:
+        buckets = max(1, -(-4 * n // cells), 2 * tx.sparkSession.sparkContext.defaultParallelism)
+        dealt = dealt.withColumn("key", F.xxhash64("prefix")).withColumn("bucket", F.pmod("key", F.lit(buckets)))
+        return cut(dealt.groupBy("bucket").applyInArrow(run, FOUND))
 
     while True:
         levels += 1
         each = heads(tx)
+        if total <= cells:  # then every group is
+            found.append(searched(deal(each), total))
+            break
         groups = cut(measured(each))
         theta = kth(groups, k, theta)
         live = groups.filter(F.col("bound") >= theta)
-        small, large = live.filter(F.col("n") <= cells), live.filter(F.col("n") > cells)
-        buckets = max(1, -(-4 * (small.agg(F.sum("n")).first()[0] or 0) // cells), 2 * tx.sparkSession.sparkContext.defaultParallelism)
-        dealt = deal(each, small).withColumn("bucket", F.pmod(F.xxhash64("prefix"), F.lit(buckets)))
-        found.append(cut(dealt.groupBy("bucket").applyInPandas(run, "ranks array<int>, utility long, support long")))
+        large = live.filter(F.col("n") > cells)
+        fit = live.filter(F.col("n") <= cells)
+        found.append(searched(deal(each, fit), fit.agg(F.sum("n")).first()[0] or 0))
         found.append(large.select("ranks", "utility", "support"))
         theta = kth(reduce(DataFrame.unionByName, found), k, theta)
         if not large.head(1):
             break
         tx = cut(deal(each, large))
-    stats |= {"levels": levels, "theta_final": theta}
+        size = F.size("ranks").cast("long")
+        total = tx.agg(F.sum(size * (size + 1) / 2).cast("long")).first()[0] or 0
+    stats |= {"levels": levels, "theta_search": theta}
     return reduce(DataFrame.unionByName, found).filter(F.col("utility") >= theta)

@@ -10,7 +10,7 @@ from quarry.functions.itemsets import render, result_line
 from quarry.operators import stats as st
 from quarry.operators import thresholds as th
 from quarry.plans import levelwise, two_phase
-from quarry.plans.common import cut
+from quarry.plans.common import cut, named
 from quarry.sources.baskets import baskets, transactions
 from quarry.sources.spmf import lines_of, parse_spmf, spmf_text
 
@@ -39,6 +39,12 @@ def userday_event(spark: SparkSession, d: str) -> DataFrame:
     return baskets(table(spark, d, "events"), F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")), F.col("event_type"), F.col("value"))
 
 
+def nation_brand(spark: SparkSession, d: str) -> DataFrame:
+    """Baskets of 25 part brands by the 25 nations of customers: long transactions with long runs."""
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.expr("l_orderkey = o_orderkey")).join(table(spark, d, "customer"), F.expr("o_custkey = c_custkey")).join(table(spark, d, "part"), F.expr("l_partkey = p_partkey"))
+    return baskets(rows, F.col("c_nationkey"), F.col("p_brand"), F.col("l_extendedprice"))
+
+
 def _cents(c: str) -> str:
     return f"CAST(SUM(CAST(ROUND({c} * 100) AS BIGINT)) AS BIGINT)"
 
@@ -49,6 +55,7 @@ BASKET_SQL = {
     "order_part": f"SELECT l_orderkey AS tid, l_partkey AS item, {_cents('l_extendedprice')} AS util FROM lineitem GROUP BY 1, 2",
     "userday_event": f"SELECT CAST(user_id AS VARCHAR) || '/' || strftime(ts, '%Y-%m-%d') AS tid, event_type AS item, {_cents('value')} AS util FROM events WHERE value IS NOT NULL GROUP BY 1, 2",
 }
+BASKET_SQL["nation_brand"] = f"SELECT c_nationkey AS tid, p_brand AS item, {_cents('l_extendedprice')} AS util FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"
 BASKETS = {"cust_ptype": cust_ptype, "order_ptype": order_ptype, "order_part": order_part, "userday_event": userday_event}
 _TU = "t AS (SELECT tid, CAST(SUM(util) AS BIGINT) AS tu FROM b GROUP BY 1)"
 _STATS = "s AS (SELECT item, CAST(SUM(tu) AS BIGINT) AS twu, CAST(SUM(util) AS BIGINT) AS riu, MIN(util) AS miu, MAX(util) AS mau, COUNT(*) AS support FROM b JOIN t USING (tid) GROUP BY 1)"
@@ -156,7 +163,7 @@ def md_bounds(spark, d):
     return found.select(F.col("itemset")[0].alias("i"), F.col("itemset")[1].alias("j"), "bound").groupBy("i", "j").agg(F.max("bound").alias("bound"))
 
 
-_LIU = "il AS (SELECT *, rank - ROW_NUMBER() OVER (PARTITION BY tid ORDER BY rank) AS island, SUM(util) OVER (PARTITION BY tid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS cum FROM r), liu AS (SELECT x.rank AS start, y.rank AS finish, CAST(SUM(y.cum - x.cum + x.util) AS BIGINT) AS utility FROM il x JOIN il y ON x.tid = y.tid AND x.island = y.island AND x.rank < y.rank AND y.rank - x.rank < 16 GROUP BY 1, 2)"
+_LIU = "il AS (SELECT *, rank - ROW_NUMBER() OVER (PARTITION BY tid ORDER BY rank) AS island, SUM(util) OVER (PARTITION BY tid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS cum FROM r), liu AS (SELECT x.rank AS start, y.rank AS finish, CAST(SUM(y.cum - x.cum + x.util) AS BIGINT) AS utility FROM il x JOIN il y ON x.tid = y.tid AND x.island = y.island AND x.rank < y.rank GROUP BY 1, 2)"
 _LB = "rr AS (SELECT rank, CAST(SUM(util) AS BIGINT) AS riu FROM r GROUP BY 1), lb(start, finish, last, n, gone, bound) AS (SELECT start, finish, rank, 1, CAST(rank AS VARCHAR), utility - riu FROM liu JOIN rr ON rank > start AND rank < finish UNION ALL SELECT start, finish, rank, n + 1, gone || ' ' || CAST(rank AS VARCHAR), bound - riu FROM lb JOIN rr ON rank > last AND rank < finish WHERE n < 3)"
 
 
@@ -165,6 +172,16 @@ def liu_runs(spark, d):
     return st.runs(st.ranked(order_ptype(spark, d))).select(F.col("start").cast("long"), F.col("finish").cast("long"), "utility")
 
 
+@query(_sql("order_part", _TU, _STATS, _RANKED, _LIU, then="SELECT start, finish, utility FROM liu"))
+def liu_runs_order_part(spark, d):
+    return st.runs(st.ranked(order_part(spark, d))).select(F.col("start").cast("long"), F.col("finish").cast("long"), "utility")
+
+
+@query(_sql("nation_brand", _TU, _STATS, _RANKED, _LIU, then="SELECT start, finish, utility FROM liu"))
+def liu_runs_long(spark, d):
+    return st.runs(st.ranked(nation_brand(spark, d))).select(F.col("start").cast("long"), F.col("finish").cast("long"), "utility")
+
+
 @query(_sql("cust_ptype", _TU, _STATS, _RANKED, _LIU, _LB, then="SELECT start, finish, gone, CAST(bound AS BIGINT) AS bound FROM lb WHERE bound > 0", recursive=True))
 def liu_lb(spark, d):
     rows = st.ranked(cust_ptype(spark, d))
@@ -246,6 +263,25 @@ def candidate_verify(spark, d):
     return shown(found.withColumnRenamed("ranks", "itemset"))
 
 
+_MC = "m(tid, itemset, last, miu) AS (SELECT tid, CAST(item AS VARCHAR), item, miu FROM b JOIN s USING (item) UNION ALL SELECT m.tid, m.itemset || ' ' || CAST(b.item AS VARCHAR), b.item, m.miu + s.miu FROM m JOIN b ON m.tid = b.tid AND b.item > m.last JOIN s ON s.item = b.item), mc AS (SELECT itemset, CAST(SUM(miu) AS BIGINT) AS floor FROM m GROUP BY 1)"
+
+
+def _floors(spark, d) -> DataFrame:
+    rows = cut(st.ranked(order_ptype(spark, d)))
+    sets = two_phase.candidates(rows, 1)
+    return named(sets.select("ranks", F.col("floor").alias("utility"), F.lit(0).alias("support")), rows.select("rank", "item").distinct())
+
+
+@query(_sql("order_ptype", _TU, _STATS, _MC, then="SELECT itemset, floor FROM mc", recursive=True))
+def mc_bounds(spark, d):
+    return _floors(spark, d).select(render(F.col("itemset")).alias("itemset"), F.col("utility").alias("floor"))
+
+
+@query(_sql("order_ptype", _TU, _STATS, _MC, then=f"SELECT CASE WHEN COUNT(*) >= {K} THEN MIN(floor) ELSE 0 END AS theta FROM (SELECT floor FROM mc WHERE floor > 0 ORDER BY floor DESC LIMIT {K})", recursive=True))
+def theta_mc(spark, d):
+    return th.kth_bound(_floors(spark, d).select("itemset", F.col("utility").alias("bound")), K)
+
+
 @query(_sql("order_ptype", *_sets_sql("order_ptype"), then="SELECT itemset, utility, support FROM (SELECT *, RANK() OVER (ORDER BY utility DESC) AS r FROM e) WHERE r <= 7", recursive=True))
 def topk_with_ties(spark, d):
     return shown(topk_hui(order_ptype(spark, d), 7, "projected", "all").rows)

@@ -152,3 +152,42 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert pairs(spark.table("item_stats").filter("item = 3"), "item", "twu", "riu", "support") == {(3, 96, 13, 5)}
+
+
+@pytest.mark.parametrize("seed,cells", [(1, 10**6), (2, 40), (3, 40)])
+def test_search_of_longer_transactions(spark, seed, cells):
+    r = random.Random(seed)
+    tx = [{i: r.randrange(0, 30) for i in r.sample(range(12), r.randrange(1, 9))} for _ in range(40)]
+    lines = spark.createDataFrame([(t, i, u) for t, x in enumerate(tx) for i, u in x.items()], "tid long, item long, util long")
+    want = brute(tx)
+    for pair_filter in (True, False):
+        got = topk_hui(lines, 25, "projected", cells=cells, pair_filter=pair_filter, raise_by=("riu",)).rows.collect()
+        assert [(x["utility"], tuple(x["itemset"]), x["support"]) for x in got] == want[:25]
+
+
+def test_verification_goes_in_rounds(sample):
+    found = topk_hui(sample, 2, "two_phase", first=1, raise_by=("riu",))
+    assert [r["utility"] for r in found.rows.collect()] == [40, 37]
+    assert found.stats["rounds"] > 1 and found.stats["verified"] <= found.stats["candidates"] and found.stats["theta_search"] == 37
+
+
+def test_stats_name_each_threshold(sample):
+    stats = topk_hui(sample, 3, raise_by=("riu", "pe", "cud", "nu", "md", "leaf")).stats
+    assert (stats["theta_riu"], stats["theta_cud"], stats["theta_nu"], stats["theta_leaf"]) == (15, 28, 27, 27)
+    assert stats["theta_items"] == 30 == stats["theta_start"] and stats["theta_search"] <= 36 and stats["seconds_search"] >= 0
+
+
+def test_ranks_keep_the_order_of_twu(sample):
+    rows = sorted((r["rank"], r["item"]) for r in st.names_of(st.item_stats(sample), 60).collect())
+    assert [i for _, i in rows] == [2, 1, 5, 3]
+
+
+def test_command(spark, tmp_path, capsys):
+    from quarry.__main__ import main
+
+    (tmp_path / "db.txt").write_text("\n".join(SAMPLE))
+    for n, more in enumerate((["-s", "levelwise", "--no-eucs-prune"], ["-r", "riu", "cud"], ["-s", "two_phase", "--ties", "all"])):
+        assert main(["-i", str(tmp_path / "db.txt"), "-o", str(tmp_path / f"out{n}"), "-k", "2", *more]) == 0
+        assert [r["value"] for r in spark.read.text(str(tmp_path / f"out{n}")).collect()] == ["2 3 4 5 #UTIL: 40", "2 3 5 #UTIL: 37"]
+    assert "driver_heap_mb" in capsys.readouterr().out
+    assert main(["-i", str(tmp_path / "none.txt"), "-o", str(tmp_path / "x")]) == 1
