@@ -139,16 +139,19 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     for s in sorted(counts, key=lambda s: s.encode()):
         starts.append({"source": s, "start": at})
         at += counts[s]
-    hint = F.broadcast if many + len(segments) + len(starts) <= BROADCAST_ROWS else lambda x: x
+    def hint(table: DataFrame, rows: int) -> DataFrame:
+        """Broadcast if its size is known to allow it; segments are at most half the square of the sources."""
+        return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
     seg = small_table(spark, segments, "source string, phase int, first long, last long, begin long, share long, period long")
     seg = seg.join(small_table(spark, starts, "source string, start long"), "source").withColumnRenamed("source", "_s")
     rows = global_index(docs.select(F.struct("*").alias("_row"), key.alias("_s")), [F.col("_s"), F.col("_row.doc_id")], "_idx")
-    rows = rows.join(hint(small_table(spark, starts, "source string, start long").withColumnRenamed("source", "_s")), "_s")
+    rows = rows.join(hint(small_table(spark, starts, "source string, start long").withColumnRenamed("source", "_s"), len(starts)), "_s")
     rows = rows.withColumn("_rank", F.col("_idx") - F.col("start")).drop("start", "_idx")
     rows = rows.withColumns({"block": F.expr(f"_rank div {block_rows}"), "row_in_block": F.expr(f"_rank % {block_rows}")})
-    rows = rows.alias("r").join(hint(seg.drop("start")).alias("g"), F.expr("r._s = g._s and r.block between g.first and g.last")).select("r.*", *[f"g.{c}" for c in ("phase", "first", "begin", "share", "period")])
+    rows = rows.alias("r").join(hint(seg.drop("start"), len(segments)).alias("g"), F.expr("r._s = g._s and r.block between g.first and g.last")).select("r.*", *[f"g.{c}" for c in ("phase", "first", "begin", "share", "period")])
     rows = rows.withColumns({"_round": F.expr("(block - first) div share"), "_nth": F.expr("(block - first) % share")})
-    rows = rows.alias("r").join(hint(order).alias("o"), F.expr("r.phase = o.phase and r._s = o.source and r._nth = o.nth")).select("r.*", "o.slot_in")
+    rows = rows.alias("r").join(hint(order, many).alias("o"), F.expr("r.phase = o.phase and r._s = o.source and r._nth = o.nth")).select("r.*", "o.slot_in")
     base = F.expr("begin + _round * period")
     return rows.select(
         "_row.*", "block", (base + F.expr("(_nth * period) div share")).alias("release"), (base + F.expr("((_nth + 1) * period + share - 1) div share")).alias("deadline"), (base + F.col("slot_in")).alias("slot"), "row_in_block", "phase"
