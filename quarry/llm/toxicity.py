@@ -218,15 +218,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
 def lexicon(sample: DataFrame) -> list[str]:
     """The learned terms of a sample (text, toxic)."""
     low = F.split(F.lower(F.regexp_replace(F.trim("text"), r"[\x09-\x0D]", " ")), " +")
-    words = sample.select("toxic", F.monotonically_increasing_id().alias("row"), low.alias("w"))
+    words = sample.select("toxic", low.alias("w"))
+
+    def units(word):
+        return F.array_compact(F.array(word, *[F.when(F.length(word) >= n, F.concat(F.substring(word, 1, n), F.lit("*"))) for n in STEMS]))
+
+    # A text counts once for each of its units, so they are made distinct where it is and sums are partial ones.
+    long = F.filter(F.array_distinct(F.transform("w", lambda x: F.btrim(x, F.lit(EDGE)))), lambda x: F.length(x) >= 3)
+    of_text = words.select("toxic", F.explode(F.array_distinct(F.flatten(F.transform(long, units)))).alias("word"))
     in_context = F.transform("w", lambda x, i: F.struct(F.btrim(x, F.lit(EDGE)).alias("word"), F.xxhash64(F.get("w", i - 1)).alias("context")))
-    words = words.select("toxic", "row", F.inline(in_context)).filter("length(word) >= 3")
-    units = F.array(F.col("word"), *[F.when(F.length("word") >= n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in STEMS])
-    pairs = words.select("toxic", "row", F.explode(F.array_compact(units)).alias("word"), "context")
+    pairs = words.filter("toxic = 1").select(F.inline(in_context)).filter("length(word) >= 3").select(F.explode(units(F.col("word"))).alias("word"), "context").distinct()
     total = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     least = F.when(F.col("word").endswith("*"), STEM_CONTEXTS).otherwise(MIN_CONTEXTS)
-    toxic = pairs.filter("toxic = 1").groupBy("word").agg(F.countDistinct("row").alias("docs"), F.countDistinct("context").alias("contexts")).filter(F.col("contexts") >= least).checkpoint()
-    clean = pairs.filter("toxic = 0").select("word", "row").join(toxic.select("word"), "word", "left_semi").groupBy("word").agg(F.countDistinct("row").alias("clean"))
+    contexts = pairs.groupBy("word").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= least)
+    toxic = of_text.filter("toxic = 1").groupBy("word").agg(F.count("*").alias("docs")).join(contexts, "word").checkpoint()
+    clean = of_text.filter("toxic = 0").join(toxic.select("word"), "word", "left_semi").groupBy("word").agg(F.count("*").alias("clean"))
     share = (F.least("docs", "contexts") / total[1]) / ((F.coalesce("clean", F.lit(0)) + 0.5) / total[0])
     found = {r["word"] for r in toxic.join(clean, "word", "left").filter(share >= MIN_LIFT).select("word").collect()}
     return sorted(w for w in found if w[-1] != "*" or not any(w[:n] + "*" in found for n in STEMS if n < len(w) - 1))
