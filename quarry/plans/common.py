@@ -27,6 +27,13 @@ def kth(found: DataFrame, k: int, theta: int) -> int:
     return max(theta, top[-1]["utility"]) if len(top) == k else theta
 
 
+def raised(best: list[int], level: DataFrame, column: str, k: int, theta: int) -> tuple[list[int], int]:
+    """The k largest values so far with those of a new level, and theta, raised to the k-th if there are k."""
+    new = [r[0] for r in level.select(column).orderBy(F.col(column).desc()).limit(k).collect()]
+    best = sorted([*best, *new], reverse=True)[:k]
+    return best, max(theta, best[-1]) if len(best) == k else theta
+
+
 def top(found: DataFrame, k: int, ties: str) -> DataFrame:
     """The k rows of largest utility, smaller itemsets first among equals, or with all that tie with the k-th.
 

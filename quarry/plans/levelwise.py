@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.stats import pair_stats, utility_lists
-from quarry.plans.common import cut, kth
+from quarry.plans.common import cut, raised
 
 
 def measure(lists: DataFrame) -> DataFrame:
@@ -39,16 +39,17 @@ def mine(rows: DataFrame, k: int, theta: int, pair_filter: bool = True, stats: d
     stats = {} if stats is None else stats
     rows = cut(rows)
     lines = cut(utility_lists(rows))
-    lists, found, levels = singles(lines), [], 0
+    lists, found, levels, best = singles(lines), [], 0, []
     pairs = cut(pair_stats(rows, "rank").filter(F.col("twu") >= theta)) if pair_filter else None
     while True:
         levels += 1
         sets = cut(measure(lists))
         found.append(sets.filter(F.col("utility") >= theta).select("ranks", "utility", "support"))
-        theta = kth(reduce(DataFrame.unionByName, found), k, theta)
+        best, theta = raised(best, found[-1], "utility", k, theta)
         keep = sets.filter(F.col("bound") >= theta)
-        stats["candidates"] = stats.get("candidates", 0) + sets.count()
-        if not keep.head(1):
+        n = sets.agg(F.count("*").alias("all"), F.count_if(F.col("bound") >= theta).alias("kept")).first()
+        stats["candidates"] = stats.get("candidates", 0) + n["all"]
+        if not n["kept"]:
             break
         lists = cut(extend(lists, lines, keep, pairs))
     stats |= {"levels": levels, "theta_search": theta}

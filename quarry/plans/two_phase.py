@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.plans.common import cut, kth
+from quarry.plans.common import cut, kth, raised
 
 #: Candidates of the first round, for each of the k wanted; each round takes four times as many.
 FIRST, AT_MOST = 4, 1_000_000
@@ -23,14 +23,14 @@ def candidates(rows: DataFrame, theta: int, stats: dict | None = None, k: int |
     lines = cut(rows.select("tid", "rank", "tu").join(each, "rank"))
     level = lines.select(F.array("rank").alias("ranks"), F.col("rank").alias("last"), "tid", "tu", F.col("mau").alias("most"), F.col("miu").alias("least"))
     right = lines.select("tid", F.col("rank").alias("new"), "mau", "miu")
-    out, levels = [], 0
+    out, levels, best = [], 0, []
     while True:
         levels += 1
         sets = cut(level.groupBy("ranks").agg(F.sum("tu").alias("twu"), F.count("*").alias("n"), F.max("most").alias("most"), F.max("least").alias("least")).filter(F.col("twu") >= theta))
         estimate = F.least("twu", F.col("most") * F.col("n"))
         out.append(sets.select("ranks", estimate.alias("estimate"), (F.col("least") * F.col("n")).alias("floor")).filter(F.col("estimate") >= theta))
         if k is not None:
-            theta = kth(reduce(DataFrame.unionByName, out).select(F.col("floor").alias("utility")), k, theta)
+            best, theta = raised(best, out[-1], "floor", k, theta)
         keep = sets.filter(F.col("twu") >= theta)
         if not keep.head(1):
             break
