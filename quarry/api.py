@@ -27,7 +27,8 @@ def topk_hui(lines: DataFrame, k: int, strategy: str = "projected", ties: str =
     Items may be of any type that can be ordered. Sets of utility 0 are not returned, nor sets that no transaction
     holds. ties: "exact" returns k rows, smaller itemsets first among equals; "all" adds what ties with the k-th.
     raise_by: the strategies that raise the threshold before the search (riu, pe, cud, nu, md, leaf). By default riu
-    is one, and cud where items are so few that pairs of them must repeat; they only raise the threshold.
+    is one, and cud where items are so few that pairs of them must repeat, but not where the lines are few enough for
+    a task's search to find as much by itself; they only raise the threshold.
     stats say the thresholds of each strategy, what was measured on the way, and seconds on the driver's clock.
     """
     if k < 1:
@@ -35,12 +36,14 @@ def topk_hui(lines: DataFrame, k: int, strategy: str = "projected", ties: str =
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy {strategy!r}")
     began = time.time()
-    lines = cut(lines.groupBy("tid", "item").agg(F.sum("util").alias("util")))
+    lines = lines.repartition("tid").groupBy("tid", "item").agg(F.sum("util").alias("util"))
+    lines = cut(st.with_tu(lines))  # dealt by tid, so what is taken by transaction afterwards shuffles no lines
     items = cut(st.item_stats(lines))
     size = items.agg(F.count("*").alias("items"), F.sum("support").alias("lines")).first()
     found: dict = {"items": size["items"], "lines": size["lines"] or 0}
     bounds: dict[tuple, int] = {}
-    for name in raise_by or (() if size["items"] ** 2 > 2 * found["lines"] else ("cud",)):
+    few = strategy == "projected" and found["lines"] <= projected.CELLS
+    for name in raise_by or (() if few or size["items"] ** 2 > 2 * found["lines"] else ("cud",)):
         if name == "riu":
             continue
         if name == "pe":

@@ -14,7 +14,8 @@ def with_tu(lines: DataFrame) -> DataFrame:
 
 def item_stats(lines: DataFrame) -> DataFrame:
     """(item, twu, riu, miu, mau, support)."""
-    return with_tu(lines).groupBy("item").agg(F.sum("tu").alias("twu"), F.sum("util").alias("riu"), F.min("util").alias("miu"), F.max("util").alias("mau"), F.count("*").alias("support"))
+    lines = lines if "tu" in lines.columns else with_tu(lines)
+    return lines.groupBy("item").agg(F.sum("tu").alias("twu"), F.sum("util").alias("riu"), F.min("util").alias("miu"), F.max("util").alias("mau"), F.count("*").alias("support"))
 
 
 def ranked(lines: DataFrame, theta: int = 0) -> DataFrame:

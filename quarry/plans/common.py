@@ -4,12 +4,32 @@ from __future__ import annotations
 
 import re
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a Spark application: they need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent.parent
+    if package.is_dir():  # not within a zip that was sent already
+        at = Path(tempfile.mkdtemp(prefix="quarry-")) / "quarry.zip"
+        with zipfile.ZipFile(at, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(at))
+    _SHIPPED.add(sc.applicationId)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df checkpointed in the cluster's shared folder; a local one is set only where none is named and all is one process."""
     spark: SparkSession = df.sparkSession

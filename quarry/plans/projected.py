@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.plans.common import cut, kth
+from quarry.plans.common import cut, kth, ship
 
 CELLS = 1_000_000
 FOUND = "ranks array<long>, utility long, support long"
@@ -146,6 +146,7 @@ def search(best: Best, prefix: list[int], rank: np.ndarray, util: np.ndarray, re
 def mine(rows: DataFrame, k: int, theta: int, cells: int = CELLS, merge: bool | None = None, pair_filter: bool = True, stats: dict | None = None) -> DataFrame:
     """(ranks, utility, support) of all sets that reach the k-th utility, and some that do not."""
     stats = {} if stats is None else stats
+    ship(rows.sparkSession)
     tx, total = _arrays(rows, merge)
     tx = tx.select(F.expr("cast(array() as array<long>)").alias("prefix"), F.lit(0).cast("long").alias("own"), "ranks", "utils", "many")
     found, levels = [], 0

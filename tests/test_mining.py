@@ -191,3 +191,8 @@ def test_command(spark, tmp_path, capsys):
         assert [r["value"] for r in spark.read.text(str(tmp_path / f"out{n}")).collect()] == ["2 3 4 5 #UTIL: 40", "2 3 5 #UTIL: 37"]
     assert "driver_heap_mb" in capsys.readouterr().out
     assert main(["-i", str(tmp_path / "none.txt"), "-o", str(tmp_path / "x")]) == 1
+
+
+def test_package_is_sent_to_executors(spark, sample):
+    topk_hui(sample, 2)
+    assert "quarry.zip" in spark.sparkContext._python_includes
