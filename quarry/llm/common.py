@@ -6,34 +6,16 @@ import json
 import re
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.plans.common import ship
+
 WORD = r"[^\x20\x09-\x0D]+"
 _ROW_MASK = (1 << 33) - 1
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a Spark application: they need not have it installed."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parent.parent
-    if package.is_dir():  # not within a zip that was sent already
-        at = Path(tempfile.mkdtemp(prefix="quarry-")) / "quarry_llm.zip"
-        with zipfile.ZipFile(at, "w") as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        sc.addPyFile(str(at))
-    _SHIPPED.add(sc.applicationId)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
