@@ -36,8 +36,7 @@ def topk_hui(lines: DataFrame, k: int, strategy: str = "projected", ties: str =
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy {strategy!r}")
     began = time.time()
-    lines = lines.repartition("tid").groupBy("tid", "item").agg(F.sum("util").alias("util"))
-    lines = cut(st.with_tu(lines))  # dealt by tid, so what is taken by transaction afterwards shuffles no lines
+    lines = cut(st.with_tu(lines.groupBy("tid", "item").agg(F.sum("util").alias("util"))))
     items = cut(st.item_stats(lines))
     size = items.agg(F.count("*").alias("items"), F.sum("support").alias("lines")).first()
     found: dict = {"items": size["items"], "lines": size["lines"] or 0}
